@@ -1,0 +1,134 @@
+"""The whole book, step by step, as tables in one folder."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bookpulse.operators import broker_reports, churn_model, labels, messages, opportunities, rfm
+from bookpulse.operators.cleaning import clean
+from bookpulse.operators.client_features import build_features
+from bookpulse.session import prepare, stage
+from bookpulse.sources import tables
+
+
+def scored_features(tx: DataFrame) -> DataFrame:
+    """Client features with segments.
+
+    The features are written once before the quartile edges are taken, so edges and rows
+    come from the same numbers and the transactions are scanned once.
+    """
+    return rfm.add_rfm(stage(build_features(tx), "features"))
+
+
+@dataclass
+class ClientBook:
+    """Tables of one book under ``folder``; each is built when first asked for."""
+
+    spark: SparkSession
+    folder: str
+    raw: DataFrame | None = None
+    rounds: int = churn_model.ROUNDS
+    company: str = messages.COMPANY
+
+    def __post_init__(self) -> None:
+        prepare(self.spark)
+
+    def _table(self, name: str, builder) -> DataFrame:
+        return tables.get_or_build(self.spark, f"{self.folder}/{name}", builder)
+
+    @property
+    def transactions(self) -> DataFrame:
+        """Cleaned transactions: the one table every later step reads."""
+        return self._table("transactions", lambda: clean(self._raw()))
+
+    @property
+    def features(self) -> DataFrame:
+        return self._table("features", lambda: scored_features(self.transactions))
+
+    @property
+    def opportunities(self) -> DataFrame:
+        """Opportunities in listing order (a range sort: large brokers span several files)."""
+        return self._table(
+            "opportunities",
+            lambda: opportunities.detect(self.features).orderBy(*opportunities.listing_order()),
+        )
+
+    @property
+    def churn_labels(self) -> DataFrame:
+        return self._table("churn_labels", lambda: labels.churn_labels(self.transactions))
+
+    @property
+    def training(self) -> DataFrame:
+        return self._table(
+            "churn_training", lambda: churn_model.training_set(self.features, self.churn_labels)
+        )
+
+    @property
+    def validated(self) -> DataFrame:
+        return self._table(
+            "churn_validated", lambda: churn_model.cross_validated(self.training, self.rounds)
+        )
+
+    @property
+    def model(self) -> PipelineModel:
+        path = f"{self.folder}/churn_model"
+        if not tables.exists(self.spark, f"{path}/metadata"):
+            tables.save_model(churn_model.fit(self.training, self.rounds), path)
+        return tables.load_model(path)[0]
+
+    @property
+    def churn_scores(self) -> DataFrame:
+        """Scores of all clients, highest risk first."""
+        return self._table(
+            "churn_scores",
+            lambda: churn_model.score_clients(self.model, self.features).orderBy(
+                F.desc("churn_probability"), "client_id"
+            ),
+        )
+
+    @property
+    def churn_report(self) -> DataFrame:
+        return self._table(
+            "churn_report",
+            lambda: churn_model.churn_report(
+                self.features, self.churn_labels, self.validated, self.model, self.churn_scores
+            ).coalesce(1),
+        )
+
+    def write_messages(self, broker_id: str | None = None, outside_texts: DataFrame | None = None) -> DataFrame:
+        """Render and store the messages of one broker, or of all; returns what is stored."""
+        chosen = self.opportunities
+        if broker_id is not None:
+            chosen = chosen.where(F.col("broker_id") == broker_id)
+        path = f"{self.folder}/messages"
+        tables.upsert_messages(messages.messages(chosen, outside_texts, self.company), path)
+        return tables.read_messages_or_empty(self.spark, path)
+
+    def reports(self) -> dict[str, DataFrame]:
+        """Every broker report, with churn columns where scores have been stored."""
+        scores = tables.read_scores_or_empty(self.spark, f"{self.folder}/churn_scores")
+        tx, features, found = self.transactions, self.features, self.opportunities
+        status = broker_reports.client_status(features, scores)
+        kpis = broker_reports.broker_kpis(tx, features)
+        return {
+            "opportunity_table": broker_reports.opportunity_table(found, scores),
+            "broker_card": broker_reports.broker_card(features, found),
+            "broker_kpis": kpis,
+            "kpi_texts": broker_reports.kpi_texts(kpis),
+            "distributions": broker_reports.distributions(features, found),
+            "top_clients": broker_reports.top_clients(features),
+            "monthly_volume": broker_reports.monthly_volume(tx),
+            "activity_grid": broker_reports.activity_grid(tx, features),
+            "client_status": broker_reports.by_recency(status),
+            "overview": broker_reports.overview(features, found),
+            "opportunity_totals": broker_reports.opportunity_totals(found),
+        }
+
+    def _raw(self) -> DataFrame:
+        if self.raw is None:
+            raise ValueError("no raw transactions given and none stored")
+        return self.raw
