@@ -81,8 +81,9 @@ def _first_in_time(name: str) -> Column:
 def _names(tx: DataFrame) -> DataFrame:
     """Main broker with its name, and client name, per client, over dated and undated rows.
 
-    Rows are first counted per distinct combination of names, so the aggregates that
-    carry strings see a handful of rows per client, moved once by client.
+    Rows are first counted per distinct combination of names, a hash aggregate of numbers.
+    The aggregates that carry strings then see a handful of rows per client, and each of
+    them combines before it shuffles, whatever a client's number of names.
     """
     combinations = (
         tx.where(F.col("balance_owner_uuid").isNotNull())
@@ -97,7 +98,7 @@ def _names(tx: DataFrame) -> DataFrame:
             F.coalesce(F.min(F.unix_micros("trigger_at_dt")), F.lit(_UNDATED)).alias("first"),
         )
     )
-    per_broker = combinations.repartition("client_id").groupBy("client_id", "broker_id").agg(
+    per_broker = combinations.groupBy("client_id", "broker_id").agg(
         F.sum("rows").alias("rows"),
         F.min(F.when(F.col("client_name").isNotNull(), F.col("first"))).alias("first"),
         _first_in_time("client_name"),

@@ -10,20 +10,24 @@ from bookpulse.functions.numbers import ratio
 from bookpulse.operators.cleaning import reference_date
 
 
-def label_cutoff(tx: DataFrame, window_days: int = CHURN_WINDOW_DAYS) -> Column:
-    """Start of the label window."""
-    return reference_date(tx) - F.make_dt_interval(F.lit(window_days))
+def label_cutoff(
+    tx: DataFrame, window_days: int = CHURN_WINDOW_DAYS, as_of: Column | None = None
+) -> Column:
+    """Start of the label window, which ends at ``as_of`` (by default the latest time)."""
+    end = reference_date(tx) if as_of is None else as_of
+    return end - F.make_dt_interval(F.lit(window_days))
 
 
 def churn_labels(
-    tx: DataFrame, window_days: int = CHURN_WINDOW_DAYS, min_past: int = MIN_PAST_TX
+    tx: DataFrame, window_days: int = CHURN_WINDOW_DAYS, min_past: int = MIN_PAST_TX,
+    as_of: Column | None = None,
 ) -> DataFrame:
     """1 for a client with history but nothing in the window, 0 for one active in it.
 
     Clients with fewer than ``min_past`` dated rows before the window get no label.
     """
     dated = tx.where(F.col("balance_owner_uuid").isNotNull() & F.col("trigger_at_dt").isNotNull())
-    past = F.col("trigger_at_dt") < label_cutoff(tx, window_days)
+    past = F.col("trigger_at_dt") < label_cutoff(tx, window_days, as_of)
     return (
         dated.groupBy(F.col("balance_owner_uuid").alias("client_id"))
         .agg(F.count_if(past).alias("past"), F.count_if(~past).alias("recent"))

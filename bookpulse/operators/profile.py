@@ -37,20 +37,26 @@ def table_shape(raw: DataFrame) -> DataFrame:
     )
 
 
+def _null_counts(tx: DataFrame) -> dict[str, Column]:
+    known = [c for c in PROFILED if c in tx.columns]
+    return {c: F.count_if(F.col(c).isNull()).alias(c) for c in known}
+
+
+def _null_percent(column: str) -> Column:
+    return F.when(F.col("n") > 0, F.col(column) / F.col("n") * 100)
+
+
 def null_profile(tx: DataFrame) -> DataFrame:
     """Type and percent of missing values of the profiled columns, one row each."""
-    types = dict(tx.dtypes)
-    known = [c for c in PROFILED if c in types]
-    missing = tx.agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in known]
-    )
+    types, counts = dict(tx.dtypes), _null_counts(tx)
     lines = [
         F.struct(
             F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"),
-            F.when(F.col("n") > 0, F.col(c) / F.col("n") * 100).alias("null_percent"),
+            _null_percent(c).alias("null_percent"),
         )
-        for c in known
+        for c in counts
     ]
+    missing = tx.agg(F.count(F.lit(1)).alias("n"), *counts.values())
     return missing.select(F.inline(F.array(*lines)))
 
 
@@ -130,9 +136,8 @@ def volume_histogram(tx: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     The last bin is closed; empty bins are listed with 0.
     """
     logs = _positive_volume(tx).select(F.log10(F.greatest("volume_usd", F.lit(1.0))).alias("x"))
-    ends = logs.agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    low = ends.select("low").scalar()
-    high = ends.select("high").scalar()
+    ends = logs.agg(F.struct(F.min("x").alias("low"), F.max("x").alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
     # A single distinct value is given a bin range of one, centred on it.
     start = F.when(high > low, low).otherwise(low - 0.5)
     width = F.when(high > low, high - low).otherwise(F.lit(1.0))
@@ -154,18 +159,31 @@ def profile_report(tx: DataFrame) -> DataFrame:
             F.lit(section).alias("section"), key.alias("key"), value.cast("double").alias("value")
         )
 
-    def wide(section: str, df: DataFrame) -> DataFrame:
-        numbers = df.select(*[F.col(c).cast("double").alias(c) for c in df.columns])
-        long = numbers.unpivot([], numbers.columns, "key", "value")
-        return lines(section, long, F.col("key"), F.col("value"))
-
-    seconds = lambda c: (F.unix_micros(c) / F.lit(1e6)).alias(c)
+    def spread_out(df: DataFrame, cells: list[tuple[str, str, Column]]) -> DataFrame:
+        rows = [
+            F.struct(F.lit(s).alias("section"), F.lit(k).alias("key"), v.cast("double").alias("value"))
+            for s, k, v in cells
+        ]
+        return df.select(F.inline(F.array(*rows)))
+
+    # Everything without a distinct count comes from one pass.
+    counts = _null_counts(tx)
+    seconds = lambda extreme: F.unix_micros(extreme("trigger_at_dt")) / F.lit(1e6)
+    one_pass = tx.agg(
+        F.count(F.lit(1)).alias("n"), seconds(F.min).alias("first"), seconds(F.max).alias("last"),
+        *counts.values(),
+    )
     broker = F.concat_ws(" ", *BROKER)
     parts = [
-        wide("shape", table_shape(tx).select("row_count")),
-        lines("nulls", null_profile(tx), F.col("column_name"), F.col("null_percent")),
-        wide("dates", date_range(tx).select(seconds("first_time"), seconds("last_time"))),
-        wide("universe", universe(tx)),
+        spread_out(one_pass, [
+            ("shape", "row_count", F.col("n")),
+            ("dates", "first_time", F.col("first")),
+            ("dates", "last_time", F.col("last")),
+            *[("nulls", c, _null_percent(c)) for c in counts],
+        ]),
+        spread_out(universe(tx), [
+            ("universe", c, F.col(c)) for c in ("brokers", "clients", "transactions")
+        ]),
         lines("volume", volume_percentiles(tx), F.concat(F.lit("p"), F.col("percent")), F.col("volume_usd")),
         lines("top_volume", top_brokers(broker_volume(tx), "total_volume_usd"), broker, F.col("total_volume_usd")),
         lines("top_clients", top_brokers(broker_clients(tx), "n_clients"), broker, F.col("n_clients")),

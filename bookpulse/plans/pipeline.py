@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookpulse.operators import broker_reports, churn_model, labels, messages, opportunities, rfm
@@ -15,13 +15,22 @@ from bookpulse.session import prepare, stage
 from bookpulse.sources import tables
 
 
-def scored_features(tx: DataFrame) -> DataFrame:
+# What later steps read; the other raw columns are not written again.
+TRANSACTION_COLUMNS = (
+    "balance_owner_uuid", "balance_owner_name", "intermediary_uuid", "intermediary_name", "trigger_at",
+    "status", "profit_spread_bps", "minimum_spread", "bp_num", "volume_usd", "spread_bps",
+    "trigger_at_dt", "broker_id_clean", "broker_name_clean", "client_name_clean", "has_broker",
+    "is_valid_completed", "month", "hour", "weekday",
+)
+
+
+def scored_features(tx: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Client features with segments.
 
     The features are written once before the quartile edges are taken, so edges and rows
     come from the same numbers and the transactions are scanned once.
     """
-    return rfm.add_rfm(stage(build_features(tx), "features"))
+    return rfm.add_rfm(stage(build_features(tx, as_of), "features"))
 
 
 @dataclass
@@ -33,6 +42,7 @@ class ClientBook:
     raw: DataFrame | None = None
     rounds: int = churn_model.ROUNDS
     company: str = messages.COMPANY
+    extra_columns: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         prepare(self.spark)
@@ -43,11 +53,22 @@ class ClientBook:
     @property
     def transactions(self) -> DataFrame:
         """Cleaned transactions: the one table every later step reads."""
-        return self._table("transactions", lambda: clean(self._raw()))
+        return self._table(
+            "transactions",
+            lambda: clean(self._raw()).select(*self.extra_columns, *TRANSACTION_COLUMNS),
+        )
+
+    @property
+    def reference_date(self) -> Column:
+        """Latest valid time, kept as a one-row table so that steps need not scan for it."""
+        kept = self._table(
+            "reference_date", lambda: self.transactions.agg(F.max("trigger_at_dt").alias("at"))
+        )
+        return kept.scalar()
 
     @property
     def features(self) -> DataFrame:
-        return self._table("features", lambda: scored_features(self.transactions))
+        return self._table("features", lambda: scored_features(self.transactions, self.reference_date))
 
     @property
     def opportunities(self) -> DataFrame:
@@ -59,7 +80,7 @@ class ClientBook:
 
     @property
     def churn_labels(self) -> DataFrame:
-        return self._table("churn_labels", lambda: labels.churn_labels(self.transactions))
+        return self._table("churn_labels", lambda: labels.churn_labels(self.transactions, as_of=self.reference_date))
 
     @property
     def training(self) -> DataFrame:

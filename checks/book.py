@@ -70,7 +70,7 @@ def book(spark: SparkSession, sf_dir: str) -> ClientBook:
     if (app, sf_dir) not in _BOOKS:
         folder = f"{work_folder(spark)}/books/{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
         raw = type_raw(raw_transactions(spark, sf_dir))
-        _BOOKS[app, sf_dir] = ClientBook(spark, folder, raw, rounds=ROUNDS)
+        _BOOKS[app, sf_dir] = ClientBook(spark, folder, raw, rounds=ROUNDS, extra_columns=("tx_id",))
     return _BOOKS[app, sf_dir]
 
 
