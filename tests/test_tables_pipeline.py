@@ -1,0 +1,86 @@
+import pytest
+from conftest import column
+
+from bookpulse.plans.pipeline import ClientBook
+from bookpulse.session import work_folder
+from bookpulse.sources import tables
+
+
+def test_csv_and_parquet_read_alike(raw, spark, tmp_path):
+    df = raw({}, {"balance_owner_name": 'a "quoted", name', "balance_paid": "N/A", "minimum_spread": None})
+    df.write.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
+    df.write.parquet(str(tmp_path / "parquet"))
+    a = tables.read_transactions(spark, str(tmp_path / "csv"), "csv")
+    b = tables.read_transactions(spark, str(tmp_path / "parquet"))
+    assert a.schema.simpleString() == b.schema.simpleString()
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_typed_columns_are_accepted(spark, tmp_path):
+    path = str(tmp_path / "typed")
+    spark.sql(
+        "SELECT 'c' balance_owner_uuid, 'n' balance_owner_name, 'b' intermediary_uuid, 'B' intermediary_name, "
+        "timestamp'2025-01-01 10:00:00' trigger_at, 'COMPLETED' status, 12.5D balance_paid, 100000000L er_paid_to_usd, "
+        "5 profit_spread_bps, 1 minimum_spread, 'x' other").write.parquet(path)
+    row = tables.read_transactions(spark, path).first()
+    assert (row["trigger_at"], row["balance_paid"], row["er_paid_to_usd"], row["other"]) == (
+        "2025-01-01 10:00:00", "12.5", 1e8, "x")
+
+
+def test_missing_tables_read_as_empty(spark, tmp_path):
+    scores = tables.read_scores_or_empty(spark, str(tmp_path / "none"))
+    assert scores.columns == ["client_id", "churn_probability", "churn_score", "risk_label"] and scores.count() == 0
+
+
+def test_get_or_build_builds_once(spark, tmp_path):
+    calls = []
+
+    def builder():
+        calls.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert tables.get_or_build(spark, str(tmp_path / "t"), builder).count() == 3
+    assert calls == [1]
+
+
+def test_unfinished_table_is_built_again(spark, tmp_path):
+    path = tmp_path / "t"
+    tables.write_table(spark.range(2), str(path))
+    (path / "_SUCCESS").unlink()
+    assert tables.get_or_build(spark, str(path), lambda: spark.range(5)).count() == 5
+
+
+def test_work_folder_follows_the_cluster_setting(spark):
+    assert work_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@pytest.fixture(scope="module")
+def whole_book(spark, tmp_path_factory):
+    from checks.book import raw_transactions
+
+    raw = tables.type_raw(raw_transactions(spark, "/root/testdata/sf0.001"))
+    return ClientBook(spark, str(tmp_path_factory.mktemp("book")), raw, rounds=2)
+
+
+def test_pipeline_properties(whole_book):
+    book = whole_book
+    clients = book.features.count()
+    assert clients == 30
+    assert sum(column(book.features.groupBy("segment").count(), "count")) == clients
+    per_client = book.opportunities.groupBy("client_id").count()
+    assert max(column(per_client, "count")) <= 2
+    assert book.features.where("R NOT BETWEEN 1 AND 4 OR F NOT BETWEEN 1 AND 4 OR M NOT BETWEEN 1 AND 4").count() == 0
+    assert book.churn_scores.count() == clients
+    report = {(r["section"], r["key"]): r["value"] for r in book.churn_report.collect()}
+    assert sum(v for (s, _), v in report.items() if s == "risk") == clients
+    assert 0 <= report["metrics", "roc_auc"] <= 1
+    for name, df in book.reports().items():
+        assert df.count() > 0, name
+
+
+def test_pipeline_messages_for_one_broker_then_all(whole_book):
+    first = whole_book.opportunities.agg({"broker_id": "min"}).first()[0]
+    stored = whole_book.write_messages(first)
+    assert set(column(stored, "broker_id")) == {first}
+    assert whole_book.write_messages().count() == whole_book.opportunities.count()
