@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # then hold millions of the largest and 10^14 of the usual ones.
 LARGEST = 1e12
 _MILLION = 1_000_000
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def finite(value: Column) -> Column:
@@ -24,12 +25,11 @@ def amount(value: Column) -> Column:
 
 
 def read_number(text: Column) -> Column:
-    """Text to DOUBLE; anything unreadable becomes NULL.
+    """Text to DOUBLE; anything but a plain or exponent number becomes NULL.
 
-    Java reads a trailing ``d`` or ``f`` as a type suffix ("1.5d"); a number in the data
-    never carries one.
+    The pattern is stricter than the cast, which also takes type suffixes ("1.5d").
     """
-    return F.when(~F.lower(F.trim(text)).rlike("[df]$"), finite(text.try_cast("double")))
+    return F.when(text.rlike(_NUMBER), finite(text.try_cast("double")))
 
 
 def parts(value: Column) -> tuple[Column, Column]:

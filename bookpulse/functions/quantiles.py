@@ -13,10 +13,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bookpulse.session import stage
+
 SMALL = 100_000      # rows inside a bracket that may be sorted in one buffer
 ACCURACY = 10_000    # of the proposing sketch; wrong proposals cost a round, not the result
 
@@ -43,12 +47,14 @@ class _Search:
         return condition
 
 
+def _any_inside(searches: Sequence[_Search]) -> Column:
+    return reduce(or_, (s.inside() for s in searches if s.value is None))
+
+
 def _row(df: DataFrame, measures: list[Column], searches: Sequence[_Search]) -> list:
     """One aggregate over the rows that any of the searches still looks at."""
-    wanted = searches[0].inside()
-    for s in searches[1:]:
-        wanted |= s.inside()
-    return list(df.where(wanted).agg(*[m.alias(f"m{i}") for i, m in enumerate(measures)]).first())
+    named = [m.alias(f"m{i}") for i, m in enumerate(measures)]
+    return list(df.where(_any_inside(searches)).agg(*named).first())
 
 
 def _narrow(df: DataFrame, searches: Sequence[_Search]) -> None:
@@ -116,15 +122,18 @@ def exact_quantiles(
             for rank in (first, min(first + 1, n - 1)):
                 searches.setdefault((column, rank), _Search(column, rank, n))
 
-    while True:
-        open_ = [s for s in searches.values() if s.value is None]
+    rows = sum(totals)
+    while open_ := [s for s in searches.values() if s.value is None]:
         wide = [s for s in open_ if s.count > small]
         if not wide:
+            # Ranks that share a bracket share one sorted buffer in the plan.
+            _pick(df, open_)
             break
         _narrow(df, wide)
-    if open_:
-        # Ranks that share a bracket share one sorted buffer in the plan.
-        _pick(df, open_)
+        # Once the brackets hold a small share of the rows, later rounds read only those.
+        held = sum(s.count for s in open_ if s.value is None)
+        if 0 < held < rows / 10:
+            df, rows = stage(df.where(_any_inside(open_)), "brackets"), held
 
     result: dict[str, list[float] | None] = {}
     for column, probabilities in wanted.items():

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bookpulse.fixed_values import (
     ACTIVITY_LABELS,
     ACTIVITY_LIMITS,
+    ALL_TYPES,
     CONTACT_TEXT,
     DAY_NAMES,
     DEFAULT_PRIORITY_FILTER,
@@ -337,6 +338,13 @@ def broker_list(opportunities: DataFrame) -> DataFrame:
     return opportunities.select("broker_id", "broker_name").distinct().orderBy("broker_name", "broker_id")
 
 
+def type_choices(opportunities: DataFrame) -> DataFrame:
+    """Types a broker can choose from: all of them, then those that occur, by name."""
+    found = opportunities.select(F.col("opportunity_type").alias("choice"), F.lit(1).alias("place")).distinct()
+    everything = opportunities.agg(F.lit(ALL_TYPES).alias("choice"), F.lit(0).alias("place"))
+    return everything.unionByName(found).orderBy("place", "choice").select("choice")
+
+
 def first_broker(opportunities: DataFrame) -> DataFrame:
     """Broker a message run starts with when none is named."""
     return opportunities.agg(F.min("broker_id").alias("broker_id"))

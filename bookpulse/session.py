@@ -44,3 +44,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_folder(spark)}/stage/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; frames built on them end here."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark)}/stage")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

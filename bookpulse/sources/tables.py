@@ -106,6 +106,11 @@ def upsert_messages(messages: DataFrame, path: str) -> None:
     )
 
 
+def export_json(df: DataFrame, path: str) -> None:
+    """Replace ``path`` with one JSON record per row, as other programs read messages."""
+    df.write.mode("overwrite").json(path)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Replace the model at ``path``; the feature list is part of its first stage."""
     model.write().overwrite().save(path)

@@ -82,6 +82,11 @@ def read_csv(b: ClientBook) -> DataFrame:
     )
 
 
+def read_named(b: ClientBook, name: str) -> DataFrame:
+    getattr(b, name)        # built when missing
+    return tables.read_table(b.spark, name, b.folder)
+
+
 def round_trip(b: ClientBook, name: str, df: DataFrame) -> DataFrame:
     folder = f"{b.folder}/written"
     tables.write_table(df, f"{folder}/{name}")
@@ -126,11 +131,9 @@ add("A1_read_transactions", lambda b: landed(b, "parquet").select(names(RAW)), f
 add("A1_read_transactions_csv", read_csv,
     "SELECT tx_id, balance_owner_uuid, broker_id AS broker_id_clean, client_name AS client_name_clean, "
     f"volume_usd, spread_bps, {TIME} AS happened FROM tx")
-add("A2_read_features",
-    lambda b: b.features and tables.read_table(b.spark, "features", b.folder),
+add("A2_read_features", lambda b: read_named(b, "features"),
     f"SELECT {o.SCORED_COLUMNS} FROM feat")
-add("A3_read_opportunities",
-    lambda b: b.opportunities and tables.read_table(b.spark, "opportunities", b.folder),
+add("A3_read_opportunities", lambda b: read_named(b, "opportunities"),
     f"SELECT {o.OPP_COLUMNS} FROM opp")
 add("A4_read_scores", read_scores,
     "SELECT client_id, churn_probability, churn_score, risk_label FROM scores")
@@ -391,7 +394,7 @@ HISTOGRAM = """
       LEFT JOIN (SELECT least(CAST(floor((x - lo) / (hi - lo) * 50) AS INTEGER), 49) AS bin0, count(*) AS n
         FROM logs, (SELECT min(x) AS lo, max(x) AS hi FROM logs) GROUP BY 1) ON bin0 = b"""
 PERCENTILES = (
-    "SELECT CAST(p AS INTEGER) AS percent, q AS volume_usd FROM (SELECT unnest([25, 50, 75, 95, 99]) AS p, "
+    "SELECT CAST(p AS INTEGER) AS percent, round(q, 6) AS volume_usd FROM (SELECT unnest([25, 50, 75, 95, 99]) AS p, "
     "unnest(quantile_cont(volume_usd, [0.25, 0.5, 0.75, 0.95, 0.99])) AS q FROM with_broker WHERE volume_usd > 0)"
 )
 NULLS = " UNION ALL ".join(
@@ -421,7 +424,8 @@ add("E23_date_range",
 add("E24_universe", lambda b: profile.universe(b.transactions),
     "SELECT count(DISTINCT intermediary_uuid) AS brokers, count(DISTINCT balance_owner_uuid) AS clients, "
     "count(*) AS transactions FROM with_broker")
-add("E25_volume_percentiles", lambda b: profile.volume_percentiles(b.transactions), PERCENTILES)
+add("E25_volume_percentiles",
+    lambda b: profile.volume_percentiles(b.transactions).withColumn("volume_usd", F.round("volume_usd", 6)), PERCENTILES)
 add("E26_broker_volume", lambda b: profile.broker_volume(b.transactions), "SELECT * FROM broker_rev")
 add("E27_broker_clients", lambda b: profile.broker_clients(b.transactions), "SELECT * FROM broker_cli")
 add("E28_status_distribution", lambda b: profile.status_distribution(b.transactions),
@@ -503,6 +507,8 @@ add("G5_top_risk", lambda b: churn_model.top_risk(scores_of(b)),
 add("G6_listing_order", lambda b: opps.ranked(b.opportunities).select(names(RANKED)), f"SELECT {RANKED} FROM ranked_opp")
 add("G7_client_table_order", lambda b: rep.by_recency(rep.client_status(b.features)).drop("churn_percent"),
     f"SELECT {STATUS.replace('churn_percent, ', '')} FROM status_table ORDER BY broker_id, days_since_last_tx, client_id")
+add("G7_type_choices", lambda b: rep.type_choices(b.opportunities),
+    "SELECT 'Todas' AS choice UNION ALL SELECT DISTINCT opportunity_type FROM opp")
 add("G8_broker_list", lambda b: rep.broker_list(b.opportunities),
     "SELECT DISTINCT broker_id, broker_name FROM opp ORDER BY broker_name, broker_id")
 add("G9_first_broker", lambda b: rep.first_broker(b.opportunities), "SELECT min(broker_id) AS broker_id FROM opp")
@@ -632,5 +638,7 @@ add("P8_client_status", lambda b: rep.by_recency(rep.client_status(b.features, s
     f"SELECT {STATUS} FROM status_table")
 add("P9_overview", lambda b: rep.overview(b.features, b.opportunities), ORACLES["E40_overview"])
 add("P9_opportunity_totals", lambda b: rep.opportunity_totals(b.opportunities), ORACLES["E41_opportunity_totals"])
-add("P10_profile_report", lambda b: profile.profile_report(b.transactions), EDA)
+add("P10_profile_report",
+    lambda b: profile.profile_report(b.transactions).withColumn(
+        "value", F.when(F.col("section") == "volume", F.round("value", 6)).otherwise(F.col("value"))), EDA)
 add("P11_churn_report", lambda b: b.churn_report)

@@ -84,3 +84,24 @@ def test_pipeline_messages_for_one_broker_then_all(whole_book):
     stored = whole_book.write_messages(first)
     assert set(column(stored, "broker_id")) == {first}
     assert whole_book.write_messages().count() == whole_book.opportunities.count()
+
+
+def test_command_line_steps(spark, tmp_path, raw, capsys):
+    from bookpulse.__main__ import main
+
+    rows = [
+        {"balance_owner_uuid": f"client-{c:04d}", "trigger_at": f"2025-06-{d:02d} 10:00:00+00", "balance_paid": str(10 * c + d)}
+        for c in range(1, 6) for d in (1, 9, 20, 30)
+    ]
+    raw(*rows).write.parquet(str(tmp_path / "raw"))
+    folder = str(tmp_path / "book")
+    main(["profile", "--input", str(tmp_path / "raw"), "--folder", folder])
+    main(["features", "--folder", folder])
+    main(["opportunities", "--folder", folder])
+    main(["messages", "--folder", folder, "--company", "Cambio Uno", "--json", str(tmp_path / "json")])
+    main(["reports", "--folder", folder])
+    shown = capsys.readouterr().out
+    assert "row_count" in shown and "client-0003" in shown
+    exported = spark.read.json(str(tmp_path / "json"))
+    assert exported.count() == spark.read.parquet(f"{folder}/opportunities").count() > 0
+    assert spark.read.parquet(f"{folder}/reports/activity_grid").count() == 168
