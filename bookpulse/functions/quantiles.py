@@ -23,19 +23,22 @@ from bookpulse.session import stage
 
 SMALL = 100_000      # rows inside a bracket that may be sorted in one buffer
 ACCURACY = 10_000    # of the proposing sketch; wrong proposals cost a round, not the result
+MARGIN = 2.0 / ACCURACY
+
+
+Values = dict[tuple[str, int], float]
 
 
 @dataclass
-class _Search:
-    """One wanted rank (0-based) of one column, inside the open interval (low, high)."""
+class _Bracket:
+    """Open interval of one column that holds the rows of some wanted ranks (0-based)."""
 
     column: str
-    rank: int
-    count: int
+    ranks: list[int]
+    rows: int
     below: int = 0
     low: float | None = None
     high: float | None = None
-    value: float | None = None
 
     def inside(self) -> Column:
         v = F.col(self.column)
@@ -46,63 +49,66 @@ class _Search:
             condition &= v < F.lit(self.high)
         return condition
 
-
-def _any_inside(searches: Sequence[_Search]) -> Column:
-    return reduce(or_, (s.inside() for s in searches if s.value is None))
-
-
-def _row(df: DataFrame, measures: list[Column], searches: Sequence[_Search]) -> list:
-    """One aggregate over the rows that any of the searches still looks at."""
+    def proposals(self) -> list[float]:
+        """Shares of the rows inside at which the sketch is asked for a value."""
+        around = [(r - self.below) / max(self.rows - 1, 1) for r in self.ranks]
+        ends = [a + side * MARGIN for a in around for side in (-1, 1)]
+        return sorted({round(min(max(e, 0.0), 1.0), 5) for e in ends})
+
+    def split(self, cuts: Sequence[float], counts: Sequence[tuple[int, int]], values: Values) -> list[_Bracket]:
+        """Ranks on a cut are answered; the others go on in the intervals between cuts.
+
+        ``counts`` holds the rows inside that lie below each cut, and below or on it.
+        """
+        parts: dict[int, _Bracket] = {}
+        for rank in self.ranks:
+            i = next((i for i, (_, through) in enumerate(counts) if rank - self.below < through), len(cuts))
+            if i < len(cuts) and rank - self.below >= counts[i][0]:
+                values[self.column, rank] = cuts[i]
+                continue
+            passed = counts[i - 1][1] if i else 0
+            low, high = (cuts[i - 1] if i else self.low), (cuts[i] if i < len(cuts) else self.high)
+            until = counts[i][0] if i < len(cuts) else self.rows
+            part = _Bracket(self.column, [], until - passed, self.below + passed, low, high)
+            parts.setdefault(i, part).ranks.append(rank)
+        return list(parts.values())
+
+
+def _any_inside(brackets: Sequence[_Bracket]) -> Column:
+    return reduce(or_, (b.inside() for b in brackets))
+
+
+def _row(df: DataFrame, measures: list[Column], brackets: Sequence[_Bracket]) -> list:
+    """One aggregate over the rows inside any of the brackets."""
     named = [m.alias(f"m{i}") for i, m in enumerate(measures)]
-    return list(df.where(_any_inside(searches)).agg(*named).first())
-
-
-def _narrow(df: DataFrame, searches: Sequence[_Search]) -> None:
-    proposals = []
-    for s in searches:
-        where = (s.rank - s.below) / max(s.count - 1, 1)
-        margin = 2.0 / ACCURACY
-        ends = [max(0.0, where - margin), min(1.0, where + margin)]
-        proposals.append(
-            F.percentile_approx(F.when(s.inside(), F.col(s.column)), ends, ACCURACY)
-        )
-    ends = _row(df, proposals, searches)
-
-    counts = []
-    for s, (low, high) in zip(searches, ends):
-        v, inside = F.col(s.column), s.inside()
-        counts += [
-            F.count_if(inside & (v < low)),
-            F.count_if(inside & (v == low)),
-            F.count_if(inside & (v > low) & (v < high)),
-            F.count_if(inside & (v == high)),
-        ]
-    counted = iter(_row(df, counts, searches))
-    for s, (low, high) in zip(searches, ends):
-        before, on_low, between, on_high = (next(counted) for _ in range(4))
-        rank = s.rank - s.below
-        if rank < before:
-            s.high, s.count = low, before
-        elif rank < before + on_low:
-            s.value = low
-        elif rank < before + on_low + between:
-            s.below += before + on_low
-            s.low, s.high, s.count = low, high, between
-        elif rank < before + on_low + between + (on_high if high > low else 0):
-            s.value = high
-        else:
-            passed = before + on_low + between + (on_high if high > low else 0)
-            s.below += passed
-            s.low, s.count = high, s.count - passed
-
-
-def _pick(df: DataFrame, searches: Sequence[_Search]) -> None:
-    picks = []
-    for s in searches:
-        held = F.sort_array(F.collect_list(F.when(s.inside(), F.col(s.column))))
-        picks.append(F.get(held, F.lit(s.rank - s.below)))
-    for s, value in zip(searches, _row(df, picks, searches)):
-        s.value = value
+    return list(df.where(_any_inside(brackets)).agg(*named).first())
+
+
+def _narrow(df: DataFrame, brackets: Sequence[_Bracket], values: Values) -> list[_Bracket]:
+    sketches = [
+        F.percentile_approx(F.when(b.inside(), F.col(b.column)), b.proposals(), ACCURACY) for b in brackets
+    ]
+    all_cuts = [sorted(set(cuts)) for cuts in _row(df, sketches, brackets)]
+    measures = [
+        F.count_if(b.inside() & condition)
+        for b, cuts in zip(brackets, all_cuts)
+        for cut in cuts
+        for condition in (F.col(b.column) < cut, F.col(b.column) <= cut)
+    ]
+    counted = iter(_row(df, measures, brackets))
+    parts: list[_Bracket] = []
+    for b, cuts in zip(brackets, all_cuts):
+        parts += b.split(cuts, [(next(counted), next(counted)) for _ in cuts], values)
+    return parts
+
+
+def _pick(df: DataFrame, brackets: Sequence[_Bracket], values: Values) -> None:
+    sorted_rows = [F.sort_array(F.collect_list(F.when(b.inside(), F.col(b.column)))) for b in brackets]
+    wanted = [
+        F.array(*[F.get(rows, F.lit(r - b.below)) for r in b.ranks]) for b, rows in zip(brackets, sorted_rows)
+    ]
+    for b, found in zip(brackets, _row(df, wanted, brackets)):
+        values.update({(b.column, r): v for r, v in zip(b.ranks, found)})
 
 
 def exact_quantiles(
@@ -114,40 +120,35 @@ def exact_quantiles(
     """
     df = df.select(*[F.col(c).cast("double").alias(c) for c in wanted])
     totals = df.agg(*[F.count(c).alias(c) for c in wanted]).first()
-    searches: dict[tuple[str, int], _Search] = {}
+    values: Values = {}
+    open_ = []
     for column, probabilities in wanted.items():
         n = totals[column]
-        for p in probabilities if n else ():
-            first = math.floor(p * (n - 1))
-            for rank in (first, min(first + 1, n - 1)):
-                searches.setdefault((column, rank), _Search(column, rank, n))
+        positions = [math.floor(p * (n - 1)) for p in probabilities]
+        ranks = {min(position + step, n - 1) for position in positions for step in (0, 1)}
+        if n:
+            open_.append(_Bracket(column, sorted(ranks), n))
 
     rows = sum(totals)
-    while open_ := [s for s in searches.values() if s.value is None]:
-        wide = [s for s in open_ if s.count > small]
-        if not wide:
-            # Ranks that share a bracket share one sorted buffer in the plan.
-            _pick(df, open_)
-            break
-        _narrow(df, wide)
+    while wide := [b for b in open_ if b.rows > small]:
+        open_ = [b for b in open_ if b.rows <= small] + _narrow(df, wide, values)
         # Once the brackets hold a small share of the rows, later rounds read only those.
-        held = sum(s.count for s in open_ if s.value is None)
+        held = sum(b.rows for b in open_)
         if 0 < held < rows / 10:
             df, rows = stage(df.where(_any_inside(open_)), "brackets"), held
+    if open_:
+        _pick(df, open_, values)
 
-    result: dict[str, list[float] | None] = {}
-    for column, probabilities in wanted.items():
-        n = totals[column]
-        result[column] = None if not n else [
-            _between(searches, column, p * (n - 1), n) for p in probabilities
-        ]
-    return result
+    return {
+        column: [_between(values, column, p * (totals[column] - 1), totals[column]) for p in probabilities]
+        if totals[column] else None
+        for column, probabilities in wanted.items()
+    }
 
 
-def _between(searches: dict, column: str, position: float, n: int) -> float:
+def _between(values: Values, column: str, position: float, n: int) -> float:
     first = math.floor(position)
-    low = searches[column, first].value
-    high = searches[column, min(first + 1, n - 1)].value
+    low, high = values[column, first], values[column, min(first + 1, n - 1)]
     share = position - first
     # Measured from the nearer end, which keeps the result exact at both.
     return low + (high - low) * share if share < 0.5 else high - (high - low) * (1 - share)
