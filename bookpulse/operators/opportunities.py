@@ -21,6 +21,7 @@ from bookpulse.fixed_values import (
 from bookpulse.functions.quantiles import exact_quantiles
 from bookpulse.functions.running import row_numbers
 from bookpulse.functions.text import day_name, fill, grouped, plain, signed_word
+from bookpulse.session import stage
 
 
 def volume_limits(features: DataFrame) -> tuple[float, float]:
@@ -71,7 +72,10 @@ def broker_names(features: DataFrame) -> DataFrame:
 def detect(features: DataFrame, limits: tuple[float, float] | None = None) -> DataFrame:
     """All opportunities: one scan of the clients, each giving 0 to 2 rows.
 
-    Only the broker's name needs a join, against one row per broker.
+    Only the broker's name needs a join, against one row per broker. That table is
+    written first: Spark then knows its size when it chooses the join, and where it is too
+    large to broadcast, AQE can split a broker with very many clients (it does not split
+    a join whose other side is an aggregate).
     """
     p50, p75 = volume_limits(features) if limits is None else limits
     hits = [
@@ -83,7 +87,7 @@ def detect(features: DataFrame, limits: tuple[float, float] | None = None) -> Da
     ).withColumn("context", context())
     return (
         found.drop("broker_name")
-        .join(broker_names(features), "broker_id")
+        .join(stage(broker_names(features), "broker-names"), "broker_id")
         .select("*", "hit.*")
         .select(schemas.OPPORTUNITIES.names)
     )
