@@ -18,7 +18,7 @@ from bookpulse.fixed_values import MODEL_FEATURES
 from bookpulse.functions.text import plain
 from bookpulse.operators import labels as churn
 from bookpulse.operators import metrics
-from bookpulse.session import stage
+from bookpulse.session import keep_checkpoints, stage
 
 ROUNDS, DEPTH, RATE, ROW_SHARE, COLUMN_SHARE, SEED = 300, 4, 0.05, 0.8, 0.8, 42
 
@@ -44,6 +44,7 @@ def pipeline(rounds: int = ROUNDS, seed: int = SEED) -> Pipeline:
 
 def fit(training: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> PipelineModel:
     """Fit on all labelled clients. Pass a written table: sampling follows its partitions."""
+    keep_checkpoints(training.sparkSession)
     return pipeline(rounds, seed).fit(training)
 
 
@@ -107,9 +108,9 @@ def top_risk(scores: DataFrame, rows: int = 10) -> DataFrame:
 
 
 def churn_report(
-    features: DataFrame, labels: DataFrame, validated: DataFrame, model: PipelineModel, scores: DataFrame
+    features: DataFrame, labels: DataFrame, validated: DataFrame, model: PipelineModel | None, scores: DataFrame
 ) -> DataFrame:
-    """Model report as ``(section, key, value)`` rows."""
+    """Model report as ``(section, key, value)`` rows; importances only with a ``model``."""
 
     def wide(section: str, df: DataFrame) -> DataFrame:
         names = df.columns
@@ -129,15 +130,16 @@ def churn_report(
         wide("metrics", metrics.roc_auc(validated)),
         wide("metrics", metrics.average_precision(validated)),
         lines,
-        importances(model).select(
-            F.lit("importance").alias("section"), F.col("feature").alias("key"),
-            F.col("importance").alias("value"),
-        ),
         churn.risk_counts(scores).select(
             F.lit("risk").alias("section"), F.col("risk_label").alias("key"),
             F.col("clients").cast("double").alias("value"),
         ),
     ]
+    if model is not None:
+        parts.append(importances(model).select(
+            F.lit("importance").alias("section"), F.col("feature").alias("key"),
+            F.col("importance").alias("value"),
+        ))
     return reduce(DataFrame.unionByName, parts)
 
 

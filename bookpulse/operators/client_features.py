@@ -15,6 +15,7 @@ _WEEKS = range(TREND_WEEKS + 1)          # a row at the reference date itself fa
 _DAY_MICROS = 86_400_000_000
 _UNDATED = 2**63 - 1                     # sorts after every time
 
+
 def _days(n: int) -> Column:
     return F.make_dt_interval(F.lit(n))
 

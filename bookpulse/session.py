@@ -34,6 +34,12 @@ def work_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS[app]
 
 
+def keep_checkpoints(spark: SparkSession) -> None:
+    """Give iterative fits a folder to cut their lineage in, where the cluster names none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{work_folder(spark)}/rdd")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

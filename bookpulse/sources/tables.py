@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, NumericType, StructType
 
 from bookpulse import schemas
-from bookpulse.functions.numbers import read_number
+from bookpulse.functions.numbers import finite, read_number
 
 TABLES = {
     "features": schemas.SCORED_FEATURES,
@@ -36,8 +36,13 @@ def type_raw(df: DataFrame) -> DataFrame:
     """Cast the known raw columns: keys and texts to string, rates to double."""
     casts = {}
     for field in schemas.RAW_TRANSACTIONS:
-        text = F.col(field.name).cast("string")
-        casts[field.name] = read_number(text) if field.dataType == DoubleType() else text
+        column, given = F.col(field.name), df.schema[field.name].dataType
+        if field.dataType != DoubleType():
+            casts[field.name] = column.cast("string")
+        elif isinstance(given, NumericType):
+            casts[field.name] = finite(column.cast("double"))
+        else:
+            casts[field.name] = read_number(column.cast("string"))
     return df.withColumns(casts)
 
 

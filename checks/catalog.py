@@ -608,6 +608,18 @@ EDA = f"""
     UNION ALL SELECT 'status', status, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM tx) * 100 FROM tx
       WHERE status IS NOT NULL GROUP BY status
     UNION ALL SELECT 'histogram', CAST(bin AS VARCHAR), n FROM ({HISTOGRAM})"""
+REPORT = f"""
+    SELECT section, key, round(value, 9) AS value FROM (
+    SELECT 'dataset' AS section, 'clients' AS key, CAST(count(*) AS DOUBLE) AS value FROM feat
+    UNION ALL SELECT 'dataset', 'labelled', count(*) FROM labels
+    UNION ALL SELECT 'dataset', 'churned', count(*) FROM labels WHERE churned = 1
+    UNION ALL SELECT 'dataset', 'active', count(*) FROM labels WHERE churned = 0
+    UNION ALL SELECT 'dataset', 'churn_rate', avg(churned) * 100 FROM labels
+    UNION ALL SELECT 'metrics', 'roc_auc', roc_auc FROM ({ORACLES["M4_ranking_metrics"]})
+    UNION ALL SELECT 'metrics', 'average_precision', average_precision FROM ({ORACLES["M4_ranking_metrics"]})
+    UNION ALL SELECT 'classification', line || ' / ' || unnest(['precision', 'recall', 'f1', 'support']),
+      unnest([precision, recall, f1, CAST(support AS DOUBLE)]) FROM report_lines
+    UNION ALL SELECT 'risk', risk_label, clients FROM ({RISK_COUNTS}))"""
 KPI_TEXTS = (
     "SELECT broker_id, CASE WHEN total_volume_usd >= 1e6 THEN '$' || printf('%.1f', total_volume_usd / 1e6::DOUBLE) || 'M' "
     f"ELSE {o.MONEY} END AS volume, '$' || {o.grouped('avg_volume_usd')} AS mean_ticket, "
@@ -641,4 +653,6 @@ add("P9_opportunity_totals", lambda b: rep.opportunity_totals(b.opportunities),
 add("P10_profile_report",
     lambda b: profile.profile_report(b.transactions).withColumn(
         "value", F.when(F.col("section") == "volume", F.round("value", 6)).otherwise(F.col("value"))), EDA)
-add("P11_churn_report", lambda b: b.churn_report)
+add("P11_churn_report",
+    lambda b: churn_model.churn_report(b.features, b.churn_labels, scored_of(b), None, scores_of(b))
+    .withColumn("value", F.round("value", 9)), REPORT)

@@ -7,7 +7,7 @@ import __spark_entry__ as contract
 from checks.compare import TABLES, difference
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"A10_churn_report", "P11_churn_report", "M3_out_of_fold", "M4_out_of_fold_metrics"}
+SLOW = {"A10_churn_report", "M3_out_of_fold", "M4_out_of_fold_metrics"}
 TWINS = None
 
 
