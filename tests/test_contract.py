@@ -7,8 +7,8 @@ import __spark_entry__ as contract
 from checks.compare import TABLES, difference
 
 FOLDER = "/root/testdata/sf0.001"
+QUERIES, TWINS = contract.queries(), contract.oracle_sql()
 SLOW = {"A10_churn_report", "M3_out_of_fold", "M4_out_of_fold_metrics"}
-TWINS = None
 
 
 @pytest.fixture(scope="module")
@@ -19,17 +19,11 @@ def con():
     return connection
 
 
-def keys():
-    from checks import catalog
-
-    return sorted(set(catalog.QUERIES) - SLOW)
-
-
-@pytest.mark.parametrize("key", keys())
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - SLOW))
 def test_query(spark, con, key):
-    df = contract.queries()[key](spark, FOLDER)
+    df = QUERIES[key](spark, FOLDER)
     rows = [tuple(r) for r in df.collect()]
-    twin = contract.oracle_sql().get(key)
+    twin = TWINS.get(key)
     if twin is None:
         assert rows
         return
