@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from bookpulse.operators import churn_model, metrics, profile
-from bookpulse.plans.pipeline import ClientBook
+from bookpulse.plans.client_book import ClientBook
 from bookpulse.session import prepare, work_folder
 from bookpulse.sources.tables import type_raw
 from checks.book import fixed_scores, raw_transactions

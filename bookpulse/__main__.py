@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from bookpulse.operators import broker_reports, churn_model, messages, profile
-from bookpulse.plans.pipeline import ClientBook
+from bookpulse.plans.client_book import ClientBook
 from bookpulse.session import drop_stages, prepare
 from bookpulse.sources import tables
 

@@ -33,7 +33,7 @@ def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     return fill_features(features.join(labels, "client_id"))
 
 
-def pipeline(rounds: int = ROUNDS, seed: int = SEED) -> Pipeline:
+def unfitted_model(rounds: int = ROUNDS, seed: int = SEED) -> Pipeline:
     """Unfitted model: feature vector, then boosted trees."""
     trees = GBTClassifier(
         featuresCol="inputs", labelCol="churned", maxIter=rounds, maxDepth=DEPTH, stepSize=RATE,
@@ -45,7 +45,7 @@ def pipeline(rounds: int = ROUNDS, seed: int = SEED) -> Pipeline:
 def fit(training: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> PipelineModel:
     """Fit on all labelled clients. Pass a written table: sampling follows its partitions."""
     keep_checkpoints(training.sparkSession)
-    return pipeline(rounds, seed).fit(training)
+    return unfitted_model(rounds, seed).fit(training)
 
 
 def _with_probability(model: PipelineModel, df: DataFrame) -> DataFrame:

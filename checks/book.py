@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookpulse.operators import churn_model
-from bookpulse.plans.pipeline import ClientBook
+from bookpulse.plans.client_book import ClientBook
 from bookpulse.session import prepare, work_folder
 from bookpulse.sources.tables import type_raw
 

@@ -20,7 +20,7 @@ from bookpulse.operators import client_features as cf
 from bookpulse.operators import labels as churn
 from bookpulse.operators import messages as msg
 from bookpulse.operators import opportunities as opps
-from bookpulse.plans.pipeline import ClientBook
+from bookpulse.plans.client_book import ClientBook
 from bookpulse.sources import tables
 from checks import oracle as o
 from checks.book import fixed_scores, outside_texts
@@ -543,7 +543,7 @@ add("K4_message_filters",
 
 # --- M. churn model -----------------------------------------------------------------------------------
 def feature_vectors(b: ClientBook) -> DataFrame:
-    assembler = churn_model.pipeline().getStages()[0]
+    assembler = churn_model.unfitted_model().getStages()[0]
     return assembler.transform(b.training).select(
         "client_id", F.posexplode(vector_to_array("inputs")).alias("position", "value"))
 

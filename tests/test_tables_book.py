@@ -1,7 +1,7 @@
 import pytest
 from conftest import column
 
-from bookpulse.plans.pipeline import ClientBook
+from bookpulse.plans.client_book import ClientBook
 from bookpulse.session import work_folder
 from bookpulse.sources import tables
 
@@ -63,7 +63,7 @@ def whole_book(spark, tmp_path_factory):
     return ClientBook(spark, str(tmp_path_factory.mktemp("book")), raw, rounds=2)
 
 
-def test_pipeline_properties(whole_book):
+def test_book_properties(whole_book):
     book = whole_book
     clients = book.features.count()
     assert clients == 30
@@ -79,7 +79,7 @@ def test_pipeline_properties(whole_book):
         assert df.count() > 0, name
 
 
-def test_pipeline_messages_for_one_broker_then_all(whole_book):
+def test_book_messages_for_one_broker_then_all(whole_book):
     first = whole_book.opportunities.agg({"broker_id": "min"}).first()[0]
     stored = whole_book.write_messages(first)
     assert set(column(stored, "broker_id")) == {first}
