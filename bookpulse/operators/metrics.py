@@ -63,7 +63,7 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     totals = ranks.agg(
         F.sum("positives").alias("p"), F.sum("negatives").alias("n"),
         # twice the rank is a whole number: exact whatever the order of rows
-        F.sum((F.col("positives") * 2 * F.col("average_rank")).cast("decimal(38,0)")).alias("twice"),
+        F.sum((F.col("average_rank") * 2).cast("decimal(20,0)") * F.col("positives")).alias("twice"),
     )
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     area = (F.col("twice").cast("double") / 2 - p * (p + 1) / 2) / (p * n)
