@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_FOLDERS: dict[str, str] = {}
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the run-time settings that results depend on."""
@@ -21,17 +18,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 def work_folder(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Where that is unset, a folder below the warehouse, which is shared as well.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    app = spark.sparkContext.applicationId
-    if shared:
-        return f"{shared.rstrip('/')}/bookpulse/{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if app not in _OWN_FOLDERS:
-        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="bookpulse-")
-    return _OWN_FOLDERS[app]
+    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/bookpulse/{spark.sparkContext.applicationId}"
 
 
 def keep_checkpoints(spark: SparkSession) -> None:
