@@ -183,13 +183,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with a language that is not in doubt, with all their columns."""
+    """The rows of ``docs`` with a language that is not in doubt, with all their columns.
+
+    Without any learned language only texts without a letter go.
+    """
     shared, at = importable(docs.sparkSession).sparkContext.broadcast(model), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judged = shared.value.judge
+        judged, learned = shared.value.judge, bool(shared.value.languages)
         for batch in batches:
-            found = [judged(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([f[0] != UNKNOWN and not f[2] for f in found], pa.bool_()))
+            kept = []
+            for text in batch.column(at).to_pylist():
+                language, _, ambiguous = judged(text)
+                kept.append(language != UNKNOWN and not ambiguous if learned else bool(letters_of(text)))
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -52,12 +52,11 @@ def signatures(text: bytes, chain: int = CHAIN, distance: int = DISTANCE) -> fro
     """64-bit hashes of all spot signatures of a UTF-8 text, in runs of bounded size."""
     found: set[int] = set()
     digest, span = xxhash.xxh64_intdigest, (chain - 1) * distance + 1
-    words: list[bytes] = []
     carried: list[bytes] = []
     for run in runs(text.translate(_FOLD)):
         words = carried + run.split()
         # An anchor near the end is left to the next run, with the words after it.
-        enough = len(words) if len(words) < 4 * span else _enough(words, span)
+        enough = _enough(words, span)
         carried = words[enough:]
         found.update(_spots(words, enough, span, distance, digest))
     found.update(_spots(carried, len(carried), span, distance, digest))

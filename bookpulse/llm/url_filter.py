@@ -42,7 +42,11 @@ ALLOWED_WORDS = (
     "news library museum school college science history health garden kitchen recipes weather "
     "sports music travel maps city council society journal archive wiki docs support research "
     "forum community market house energy water nature animals language reading letters daily "
-    "the theory other weather station nation thread thing there lesson person forest interest"
+    "the theory other weather station nation thread thing there lesson person forest interest "
+    "table able possible stable parent agent student current gentle moment island england planet "
+    "ring spring being north south earth truth with author father mother teacher reader action "
+    "section edition question address business illness pocket picket package clinic click-clock "
+    "castle cascade cashmere adult-school address-book administration trackday-history winter window"
 ).split()
 
 
