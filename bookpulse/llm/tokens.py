@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import os
 import struct
+from collections.abc import Iterable
 
 from bookpulse.llm.common import RUN_BYTES, runs
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the machine already
 
-#: A worker forgets its words beyond so many bytes of keys, ids and table slots.
+#: Bytes of keys, ids and table slots of the words that a worker keeps.
 KNOWN_BYTES = 250_000_000
 
 #: Bytes that the library drops as white space and that end a word.
@@ -38,6 +39,8 @@ class WordEncoder:
 
     Tokenizers that drop white space give a word the same ids wherever it stands, so each
     distinct word is encoded once and then looked up. Other tokenizers get whole texts.
+    Words are kept in two generations: once the younger holds half of ``known_bytes``, the
+    older is forgotten, but for the words in use.
     """
 
     def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
@@ -47,6 +50,7 @@ class WordEncoder:
         self.by_word = _drops_space(path)
         self.limit = known_bytes
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.size = 0
 
     def encode(self, data: bytes) -> bytes:
@@ -69,17 +73,35 @@ class WordEncoder:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
     def _learn(self, words: list[bytes]) -> None:
-        if self.size > self.limit:
-            self.known.clear()
-            self.size = 0
-        known = self.known
-        parts = {w: _parts(w) for w in set(words) if w not in known}
-        asked = list({x for pair in parts.values() for x in pair if x not in known})
-        known.update(zip(asked, self._library([x.decode() for x in asked])))
+        if self.size > self.limit // 2:
+            self.older, self.known, self.size = self.known, {}, 0
+        known, before = self.known, len(self.known)
+        parts = {w: _parts(w) for w in self._unknown(words)}
+        rest = []
+        for x in self._unknown(x for pair in parts.values() for x in pair):
+            if x.isalpha() and x.islower():  # a to z: nothing to normalize or to split
+                ids = [t.id for t in self.tokenizer.model.tokenize(x.decode())]
+                known[x] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(x)
+        if rest:
+            known.update(zip(rest, self._library([x.decode() for x in rest])))
         for word, (core, tail) in parts.items():
             if word not in known:
                 known[word] = known[core] + known[tail]
-        self.size += sum(200 + len(w) + len(known[w]) for w in (*asked, *parts))
+        self.size += 210 * (len(known) - before) + sum(map(len, parts))
+
+    def _unknown(self, words: Iterable[bytes]) -> list[bytes]:
+        """Distinct words of neither generation; those of the older one move to the younger."""
+        known, older, found = self.known, self.older, []
+        for word in set(words):
+            if word not in known:
+                ids = older.get(word)
+                if ids is None:
+                    found.append(word)
+                else:
+                    known[word] = ids
+        return found
 
 
 def _parts(word: bytes) -> tuple[bytes, bytes]:
