@@ -12,9 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 RUN_BYTES = 1 << 22
 
 
+#: Rows reach Python in batches of about so many bytes (or one row).
+BATCH_BYTES = 8 << 20
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this machine import the package; clusters ship it with ``--py-files``."""
+    """Prepare a session for Python workers: small batches of rows, and the package on their path.
+
+    The path serves workers on this machine; clusters ship the package with ``--py-files``.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -28,6 +36,13 @@ def texts(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that work on a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def runs(data: bytes, size: int = RUN_BYTES) -> Iterator[bytes]:
     """Cut at spaces into runs of about ``size`` bytes; no word is cut."""
     at = 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookpulse.llm.common import importable, own_columns, runs, texts
+from bookpulse.llm.common import importable, own_columns, runs, slices, texts
 from bookpulse.session import stage
 
 WINDOW = 10
@@ -189,7 +189,7 @@ def _search(rows: DataFrame, items, window: int, *extra: str) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Search(items.value, window)
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        for batch in batches:
+        for batch in slices(batches):
             found = [find(t) for t in texts(batch.column(1))]
             hits = pa.array([[{"start": a, "end": b} for a, b in f[1]] for f in found], pa.list_(span))
             yield pa.RecordBatch.from_arrays(
@@ -237,7 +237,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
         def clean(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             find = Search(items.value, window)
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array(np.array([not find(t)[1] for t in texts(batch.column(at))], dtype=bool)))
 
         docs = docs.mapInArrow(clean, docs.schema)

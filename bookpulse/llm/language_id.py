@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookpulse.llm.common import importable, own_columns
+from bookpulse.llm.common import importable, own_columns, slices
 
 #: Labelled documents that are learned from, per language (about: chosen by hash).
 SAMPLE = 2000
@@ -129,16 +129,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     Languages are counted over all rows; a hash of the doc_id then picks the share of each.
     Only n-gram counts per language come to the driver: languages times ``BUCKETS`` at most.
     """
-    spark = importable(docs.sparkSession)
+    importable(docs.sparkSession)
     rows = own_columns(docs, "doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
     languages = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
-    parts = spark.createDataFrame([(k, min(1.0, sample / n)) for k, n in languages.items()], "lang string, part double")
+    part = F.create_map(*[F.lit(x) for k, n in languages.items() for x in (k, min(1.0, sample / n))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(parts, "lang").where(draw < F.col("part")).select("lang", "text")
+    chosen = rows.where(draw < F.try_element_at(part, F.col("lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judged = shared.value.judge
-        for batch in batches:
+        for batch in slices(batches):
             found = [judged(t) for t in batch.column(1).to_pylist()]
             kinds = (pa.string(), pa.float64(), pa.bool_())
             out = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
@@ -191,7 +191,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judged, learned = shared.value.judge, bool(shared.value.languages)
-        for batch in batches:
+        for batch in slices(batches):
             kept = []
             for text in batch.column(at).to_pylist():
                 language, _, ambiguous = judged(text)

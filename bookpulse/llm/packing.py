@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookpulse.functions.running import running_totals
-from bookpulse.llm.common import importable, own_columns, texts
+from bookpulse.llm.common import importable, own_columns, slices, texts
 from bookpulse.llm.tokens import encoder
 from bookpulse.session import stage
 
@@ -97,19 +97,17 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFr
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text, projection = encoder(tokenizer).encode, Projection()
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                coded = [encode_text(t) + end for t in texts(part.column(1))]
-                keys = hilbert_keys(projection.points([np.frombuffer(c, "<u4") for c in coded]), BITS)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + len(coded))), part.column(0), pa.array(keys),
-                        pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(coded, pa.binary()),
-                    ],
-                    ["row", "doc_id", "curve", "n_tokens", "ids"],
-                )
-                row += len(coded)
+        for batch in slices(batches):
+            coded = [encode_text(t) + end for t in texts(batch.column(1))]
+            keys = hilbert_keys(projection.points([np.frombuffer(c, "<u4") for c in coded]), BITS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(row, row + len(coded))), batch.column(0), pa.array(keys),
+                    pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(coded, pa.binary()),
+                ],
+                ["row", "doc_id", "curve", "n_tokens", "ids"],
+            )
+            row += len(coded)
 
     rows = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")
     return rows.mapInArrow(encode, _CODED)
@@ -128,7 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 2)
     ).select("row", (F.col("upto") - F.col("n")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(8)]
             for doc, ids, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 total, start = len(ids) // 4, 0

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bookpulse.llm.common import importable, own_columns, texts
+from bookpulse.llm.common import importable, own_columns, slices, texts
 from bookpulse.llm.tokens import encoder
 
 ROW_GROUP_BYTES = 32 << 20
@@ -53,7 +53,7 @@ def write_token_files(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text, part, total = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             coded = [encode_text(t) + end for t in texts(batch.column(1))]
             counts = np.array([len(c) // 4 for c in coded], dtype=np.int64)
             upto = total + np.cumsum(counts)
@@ -110,7 +110,7 @@ def with_checksums(tokens: DataFrame) -> DataFrame:
     importable(tokens.sparkSession)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(3)
             ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
             at = lists.offsets.to_numpy()

@@ -12,7 +12,7 @@ from bookpulse.llm.common import RUN_BYTES, runs
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the machine already
 
 #: Bytes of keys, ids and table slots of the words that a worker keeps.
-KNOWN_BYTES = 250_000_000
+KNOWN_BYTES = 160_000_000
 
 #: Bytes that the library drops as white space and that end a word.
 _TO_SPACE = bytes(32 if chr(b) in " \t\n\r\x0b\x0c" else b for b in range(256))
