@@ -24,6 +24,13 @@ TRANSACTION_COLUMNS = (
 )
 
 
+# Tables that follow from the transactions; the messages of former runs are kept.
+DERIVED = (
+    "transactions", "reference_date", "features", "opportunities", "churn_labels", "churn_training",
+    "churn_validated", "churn_model", "churn_scores", "churn_report",
+)
+
+
 def scored_features(tx: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Client features with segments.
 
@@ -35,7 +42,11 @@ def scored_features(tx: DataFrame, as_of: Column | None = None) -> DataFrame:
 
 @dataclass
 class ClientBook:
-    """Tables of one book under ``folder``; each is built when first asked for."""
+    """Tables of one book under ``folder``; each is built when first asked for.
+
+    With ``replace`` all tables stored there that follow from the transactions are removed
+    first, so that new input, rounds or settings never meet results of old ones.
+    """
 
     spark: SparkSession
     folder: str
@@ -43,9 +54,14 @@ class ClientBook:
     rounds: int = churn_model.ROUNDS
     company: str = messages.COMPANY
     extra_columns: tuple[str, ...] = ()
+    replace: bool = False
 
     def __post_init__(self) -> None:
         prepare(self.spark)
+        if self.replace:
+            self._raw()
+            for name in DERIVED:
+                tables.remove(self.spark, f"{self.folder}/{name}")
 
     def _table(self, name: str, builder) -> DataFrame:
         return tables.get_or_build(self.spark, f"{self.folder}/{name}", builder)

@@ -21,14 +21,18 @@ TABLES = {
 }
 
 
-def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_transactions(
+    spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True
+) -> DataFrame:
     """Raw transactions; the ten known columns get their raw types, others stay as read.
 
-    CSV is read without a type scan: every column arrives as text and is cast here.
+    CSV is read without a type scan: every column arrives as text and is cast here. Line
+    breaks inside quotes belong to their field; where there are none, ``multi_line=False``
+    lets Spark split large files.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.options(header=True, quote='"', escape='"', multiLine=False)
+        reader = reader.options(header=True, quote='"', escape='"', multiLine=multi_line)
     return type_raw(reader.load(path))
 
 
@@ -125,3 +129,9 @@ def load_model(path: str) -> tuple[PipelineModel, list[str]]:
     """The fitted model and the names of its input columns."""
     model = PipelineModel.load(path)
     return model, list(model.stages[0].getInputCols())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table, if there is one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -159,3 +159,20 @@ def test_scores_of_a_small_book(features):
 
 def test_feature_summary(features):
     assert tuple(feature_summary(features({}, {"client_id": "C2", "broker_id": "DIRECTO"})).first()) == (2, 1, 1)
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [("2025-06-30 12:00:05.5+00", "2025-06-30 12:00:05"), ("2025-06-30", "2025-06-30 00:00:00"),
+     ("2025/06/30 12:00:00", "2025-06-30 12:00:00"), ("30-Jun-2025 12:00", "2025-06-30 12:00:00"),
+     ("06/30/2025 10:00", "2025-06-30 10:00:00"), ("Jun 30 2025", "2025-06-30 00:00:00"),
+     ("20250630 120000", "2025-06-30 12:00:00"), ("12:30:00", None), ("2025", None), ("13/45/2025 10:00", None),
+     ("Xyz 30 2025", None), ("", None), (None, None)],
+)
+def test_times_are_read_by_their_date(spark, text, wanted):
+    from pyspark.sql import functions as F
+
+    from bookpulse.operators.cleaning import read_time
+
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(F.date_format(read_time(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("r")).first()["r"] == wanted

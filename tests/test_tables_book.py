@@ -105,3 +105,21 @@ def test_command_line_steps(spark, tmp_path, raw, capsys):
     exported = spark.read.json(str(tmp_path / "json"))
     assert exported.count() == spark.read.parquet(f"{folder}/opportunities").count() > 0
     assert spark.read.parquet(f"{folder}/reports/activity_grid").count() == 168
+
+
+def test_new_input_replaces_the_book(spark, tmp_path, raw):
+    def book(clients, **options):
+        rows = [{"balance_owner_uuid": f"client-{c:04d}"} for c in range(clients)]
+        return ClientBook(spark, str(tmp_path / "book"), raw(*rows), **options)
+
+    assert book(5).features.count() == 5
+    assert book(50, replace=True).features.count() == 50
+
+
+def test_csv_field_with_a_line_break(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text(
+        "balance_owner_uuid,balance_owner_name,intermediary_uuid,intermediary_name,trigger_at,status,balance_paid,"
+        'er_paid_to_usd,profit_spread_bps,minimum_spread\nC1,"Ana\nMaria",B1,Broker,2025-06-30 12:00:00+00,COMPLETED,5,1e8,1,1\n'
+    )
+    rows = tables.read_transactions(spark, str(tmp_path / "raw.csv"), "csv").collect()
+    assert [r["balance_owner_name"] for r in rows] == ["Ana\nMaria"]
