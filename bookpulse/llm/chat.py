@@ -69,14 +69,17 @@ class Template:
         # Byte-level tokens are strings over 256 printable stand-ins for bytes.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
+        self.spelled: dict[int, bytes] = {}  # bytes of the ids seen; at most the vocabulary
         self.byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def bytes_of(self, ids: list[int]) -> bytes:
-        byte_of, token = self.byte_of, self.tokenizer.id_to_token
-        return bytes(byte_of[c] for i in ids for c in token(i))
+        spelled, byte_of, token = self.spelled, self.byte_of, self.tokenizer.id_to_token
+        for i in set(ids).difference(spelled):
+            spelled[i] = bytes(byte_of[c] for c in token(i))
+        return b"".join(map(spelled.__getitem__, ids))
 
     def turns(self, rows: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, str]:
         """input_ids, loss_mask and formatted string of (role, text) turns."""
