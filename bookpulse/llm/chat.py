@@ -2,7 +2,8 @@
 
 The template of a turn is ``### Role: text </turn>\\n``. Role heads and turn ends are single
 reserved ids beyond the vocabulary; contents are encoded as ordinary text by a lossless
-byte-level tokenizer. Backslashes and control strings inside contents are escaped, so that
+byte-level tokenizer, whose strings of special tokens are ordinary text as well; runs of
+white space beyond ``LONG_SPACE`` characters are encoded in pieces of that length. Backslashes and control strings inside contents are escaped, so that
 the formatted string can be read back as well. The loss mask covers the contents of
 assistant turns; it is the prefix sum of +1 where one begins and -1 where it ends.
 
@@ -13,10 +14,11 @@ an empty table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,6 @@ from pyspark.sql import functions as F
 
 from bookpulse.llm.common import importable, own_columns
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
 #: Fixed values of the template.
 HEADS = {"user": "### User: ", "assistant": "### Assistant: ", "system": "### System: "}
 OTHER_HEAD, OTHER_HEAD_END = "### Role ", ": "
@@ -34,16 +34,21 @@ TURN_END = " </turn>\n"
 CONTROL = re.compile(r"\\|### (?=User:|Assistant:|System:|Role )|</turn>")
 #: Reserved ids, counted from the end of the vocabulary.
 RESERVED = (*HEADS.values(), OTHER_HEAD, OTHER_HEAD_END, TURN_END)
+#: How a byte-level vocabulary of this kind splits texts into words (fixed value).
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The tokenizer's pattern search fails on much longer runs of white space.
+LONG_SPACE = 4096
+_CUT = re.compile(r"(\s{%d})" % LONG_SPACE)
 #: A conversation is written in rows of about so many ids; a turn is never cut.
 CHUNK_IDS = 1 << 20
 FORMATTED = "conv_id bigint, chunk bigint, n_turns bigint, input_ids array<int>, loss_mask array<tinyint>, formatted string"
 
 
 def tokenizer_file() -> str:
-    """A lossless byte-level vocabulary, as the registered query uses."""
+    """A lossless byte-level vocabulary of ranked tokens, as the registered query uses."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def escape(text: str) -> str:
@@ -59,27 +64,23 @@ class Template:
     """Assemble conversations from token segments and read them back."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.first = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.tokenizer = tiktoken.Encoding("chat", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.first = max(ranks.values()) + 1
         self.ids = {s: self.first + i for i, s in enumerate(RESERVED)}
         self.roles = {self.ids[h]: r for r, h in HEADS.items()}
-        # Byte-level tokens are strings over 256 printable stand-ins for bytes.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in set(plain)]
-        self.spelled: dict[int, bytes] = {}  # bytes of the ids seen; at most the vocabulary
-        self.byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
     def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if len(text) <= LONG_SPACE:
+            return self.tokenizer.encode_ordinary(text)
+        return [i for part in _CUT.split(text) for i in self.tokenizer.encode_ordinary(part)]
 
-    def bytes_of(self, ids: list[int]) -> bytes:
-        spelled, byte_of, token = self.spelled, self.byte_of, self.tokenizer.id_to_token
-        for i in set(ids).difference(spelled):
-            spelled[i] = bytes(byte_of[c] for c in token(i))
-        return b"".join(map(spelled.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of the ids, with its escapes undone."""
+        return unescape(self.tokenizer.decode_bytes(ids.tolist()).decode())
 
     def turns(self, rows: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, str]:
         """input_ids, loss_mask and formatted string of (role, text) turns."""
@@ -106,31 +107,42 @@ class Template:
         np.add.at(steps, closes, -1)
         return np.array(ids, dtype=np.int32), np.cumsum(steps[:-1], dtype=np.int8), "".join(strings)
 
-    def read(self, ids: list[int]) -> Iterator[tuple[str, str]]:
+    def read(self, ids: np.ndarray) -> Iterator[tuple[str, str]]:
         """(role, text) of each turn."""
-        role, part = None, []
-        for i in ids:
-            if i < self.first:
-                part.append(i)
-            elif i in self.roles:
-                role, part = self.roles[i], []
-            elif i == self.ids[OTHER_HEAD]:
-                part = []
+        role, begin = None, 0
+        for at in np.flatnonzero(ids >= self.first).tolist():
+            i = int(ids[at])
+            if i in self.roles:
+                role = self.roles[i]
             elif i == self.ids[OTHER_HEAD_END]:
-                role, part = unescape(self.bytes_of(part).decode()), []
-            else:
-                yield role, unescape(self.bytes_of(part).decode())
+                role = self.decode(ids[begin:at])
+            elif i == self.ids[TURN_END]:
+                yield role, self.decode(ids[begin:at])
+            begin = at + 1
+
+
+@lru_cache(maxsize=1)
+def template_of(path: str) -> Template:
+    """The template of this worker, kept from task to task."""
+    return Template(path)
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, tuple]]:
     """Rows of a stream sorted by its first column, each with a mark where a new key begins."""
     last: object = _conversations  # equal to no key
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in zip(*map(_values, batch.columns)):
             yield row[0] != last, row
             last = row[0]
 
 
+def _values(column: pa.Array) -> Iterator | list:
+    """Python values of a column; lists, which are never null here, as numpy arrays."""
+    if pa.types.is_list(column.type):
+        return (x.values.to_numpy() for x in column)
+    return column.to_pylist()
+
+
 def format_conversations(rows: DataFrame, tokenizer: str, chunk_ids: int = CHUNK_IDS) -> DataFrame:
     """conv_id, chunk, n_turns, input_ids, loss_mask and formatted string, in turn order.
 
@@ -140,7 +152,7 @@ def format_conversations(rows: DataFrame, tokenizer: str, chunk_ids: int = CHUNK
     importable(rows.sparkSession)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, conv, chunk, turns, size = Template(tokenizer), None, 0, [], 0
+        template, conv, chunk, turns, size = template_of(tokenizer), None, 0, [], 0
 
         def flush() -> pa.RecordBatch:
             ids, mask, formatted = template.turns(turns)
@@ -189,7 +201,7 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
     importable(formatted.sparkSession)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, state, out = Template(tokenizer), None, []
+        template, state, out = template_of(tokenizer), None, []
 
         def done() -> None:
             if state:
@@ -211,7 +223,7 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
             for role, content in template.read(ids):
                 state[1] += 1
                 state[2].update(f"{role}\n{content}\n".encode())
-            lost = unescape(template.bytes_of([i for i, m in zip(ids, mask) if m]).decode())
+            lost = template.decode(ids[mask == 1])
             state[3] += len(lost)
             state[4].update(lost.encode())
             state[5] += len(text)

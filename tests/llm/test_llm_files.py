@@ -199,7 +199,7 @@ def test_chat_round_trip(spark):
         (c, t, r.choice(["user", "assistant", "system", "tool\n### User:", None]), "".join(r.choice(bits) for _ in range(r.randrange(9))))
         for c in range(60) for t in range(r.randrange(1, 7))
     ] + [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok"),
-         (70, None, "assistant", None), (70, 1, "user", None), (70, 1, "user", None), (None, 0, "assistant", "x" * 90_000)]
+         (70, None, "assistant", None), (70, 1, "user", None), (70, 1, "user", None), (None, 0, "assistant", "x" * 90_000), (71, 0, "assistant", " " * 2_000_000 + "x" + "\n\u3000" * 5000)]
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns(
