@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Dollar amounts and spreads beyond this are unreadable input: BIGINT sums of whole units
-# then hold millions of the largest and 10^14 of the usual ones.
-LARGEST = 1e12
-_MILLION = 1_000_000
+# Numbers below this are added digit by digit, in any order; beyond it, as doubles.
+_EXACT_BELOW = 1e18
+_PLACES = 14                       # decimal places that are kept
+_LIMB = 10**7                      # limbs have seven digits: BIGINT sums hold 9 * 10^11 of them
+_WEIGHTS = tuple(Decimal(_LIMB**k) for k in (3, 2, 1, 0))   # in units of the last place
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -19,11 +21,6 @@ def finite(value: Column) -> Column:
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
-def amount(value: Column) -> Column:
-    """Numbers beyond ``LARGEST``, NaN included, become NULL."""
-    return F.when(F.abs(value) <= F.lit(LARGEST), value)
-
-
 def read_number(text: Column) -> Column:
     """Text to DOUBLE; anything but a plain or exponent number becomes NULL.
 
@@ -32,26 +29,38 @@ def read_number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), finite(text.try_cast("double")))
 
 
-def parts(value: Column) -> tuple[Column, Column]:
-    """Whole units and millionths of ``value`` as BIGINT.
+def parts(value: Column) -> tuple[Column, ...]:
+    """Four BIGINT limbs of ``value`` and, beyond 10^18, the value itself as a fifth part.
 
-    Adding these instead of doubles gives the same sum in whatever order rows arrive, so
-    a recomputed task cannot move a client across a bucket edge. Unlike DECIMAL sums they
-    stay fixed-width in hash aggregates.
+    Adding limbs instead of doubles gives the same sum in whatever order rows arrive, so a
+    recomputed task cannot move a client across a bucket edge. Unlike DECIMAL sums they
+    stay fixed-width in hash aggregates. A number counts with 15 significant digits and at
+    most 14 decimal places, which keeps every amount that is written in so many.
     """
-    whole = F.floor(value)
-    return whole, F.floor((value - whole) * F.lit(float(_MILLION)) + F.lit(0.5))
-
-
-def joined(wholes: Column, millionths: Column) -> Column:
-    """Summed parts as one DECIMAL with six digits."""
-    return wholes.cast("decimal(20,0)") + millionths.cast("decimal(20,0)") * F.lit(Decimal("0.000001"))
+    inside = F.when(F.abs(value) < _EXACT_BELOW, value).when(value.isNotNull(), 0.0)
+    whole = inside.cast("bigint")
+    digits = F.greatest(_PLACES - F.floor(F.log10(F.greatest(F.abs(inside), F.lit(1.0)))), F.lit(0))
+    kept = F.rint((inside - whole) * F.pow(F.lit(10.0), digits))
+    fraction = (kept * F.pow(F.lit(10.0), _PLACES - digits)).cast("bigint")
+    limbs = []
+    for number in (whole, fraction):
+        low = number % _LIMB
+        limbs += [F.rint((number - low) / _LIMB).cast("bigint"), low]
+    return *limbs, F.when(F.abs(value) >= _EXACT_BELOW, value)
+
+
+def joined(sums: Sequence[Column]) -> Column:
+    """Summed parts as one DOUBLE: exact but for the rounding of the result."""
+    *limbs, beyond = sums
+    total = sum((limb.cast("decimal(38,0)") * F.lit(w) for limb, w in zip(limbs[1:], _WEIGHTS[1:])),
+                limbs[0].cast("decimal(38,0)") * F.lit(_WEIGHTS[0]))
+    near = F.concat(total.cast("string"), F.lit(f"e-{_PLACES}")).cast("double")  # rounds once
+    return near + F.coalesce(beyond, F.lit(0.0))
 
 
 def exact_sum(value: Column) -> Column:
-    """Sum as DECIMAL, exact to a millionth."""
-    whole, millionths = parts(value)
-    return joined(F.sum(whole), F.sum(millionths))
+    """Sum as DOUBLE that does not depend on the order of rows."""
+    return joined([F.sum(part) for part in parts(value)])
 
 
 def ratio(total: Column, count: Column) -> Column:

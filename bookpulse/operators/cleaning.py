@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookpulse.fixed_values import COMPLETED, MONEY_SCALE
-from bookpulse.functions.numbers import amount, read_number
+from bookpulse.functions.numbers import finite, read_number
 
 
 # Forms of a time that are read besides ISO dates and times; each needs a full date.
@@ -42,8 +42,8 @@ def clean(raw: DataFrame) -> DataFrame:
     return raw.withColumns(
         {
             "bp_num": paid,
-            "volume_usd": amount(paid * F.col("er_paid_to_usd") / F.lit(MONEY_SCALE)),
-            "spread_bps": amount(F.col("profit_spread_bps") / F.lit(MONEY_SCALE)),
+            "volume_usd": finite(paid * F.col("er_paid_to_usd") / F.lit(MONEY_SCALE)),
+            "spread_bps": finite(F.col("profit_spread_bps") / F.lit(MONEY_SCALE)),
             "trigger_at_dt": read_time(F.col("trigger_at")),
             "broker_id_clean": _blank_to_null("intermediary_uuid"),
             "broker_name_clean": _blank_to_null("intermediary_name"),

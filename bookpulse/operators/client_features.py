@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bookpulse import schemas
 from bookpulse.fixed_values import DIRECT_BROKER, RECENT_DAYS, TREND_WEEKS
-from bookpulse.functions.numbers import amount, joined, parts, ratio
+from bookpulse.functions.numbers import exact_sum, finite, joined, parts, ratio
 from bookpulse.operators.cleaning import reference_date
 
 _HOURS, _DAYS = range(24), range(7)
@@ -20,17 +20,26 @@ def _days(n: int) -> Column:
     return F.make_dt_interval(F.lit(n))
 
 
+def _week(now: Column) -> Column:
+    """Week of the trend window that a valid row falls in, else NULL."""
+    ts, start = F.col("trigger_at_dt"), now - _days(7 * TREND_WEEKS)
+    return F.when(
+        F.col("is_valid_completed") & (ts >= start),
+        F.floor((F.unix_micros(ts) - F.unix_micros(start)) / F.lit(7 * _DAY_MICROS)),
+    )
+
+
 def _measures(tx: DataFrame, as_of: Column) -> DataFrame:
-    """Counts, sums, hour and weekday counts and weekly volumes per client.
+    """Counts, sums, hour and weekday counts and the sums of the weekly trend per client.
 
     One hash aggregate over fixed-width numbers, one shuffle: every task first adds up
-    its own rows, so a client that holds a third of them moves one row per task. Hour,
-    weekday and week have 24, 7 and 9 values and get a column each, which saves a second
-    shuffle per measure; the columns are mostly zero and compress away when moved.
+    its own rows, so a client that holds a third of them moves one row per task. Hour and
+    weekday have 24 and 7 values and get a column each, which saves a second shuffle per
+    measure; the columns are mostly zero and compress away when moved. The trend needs
+    three numbers: volume, volume times week, and the set of weeks as bits.
     """
     ts, valid, now = F.col("trigger_at_dt"), F.col("is_valid_completed"), F.col("_as_of")
     month, quarter = RECENT_DAYS
-    weeks_start = now - _days(7 * TREND_WEEKS)
     rows = tx.where(F.col("balance_owner_uuid").isNotNull()).withColumn("_as_of", as_of)
     columns = {
         "client_id": F.col("balance_owner_uuid"),
@@ -40,19 +49,17 @@ def _measures(tx: DataFrame, as_of: Column) -> DataFrame:
         "recent_30": ts >= now - _days(month),
         "recent_90": ts >= now - _days(quarter),
         "valid": valid,
-        "week": F.when(
-            valid & (ts >= weeks_start),
-            F.floor((F.unix_micros(ts) - F.unix_micros(weeks_start)) / F.lit(7 * _DAY_MICROS)),
-        ),
+        "week": _week(now),
     }
     for name in ("volume_usd", "spread_bps", "minimum_spread"):
-        columns[name], columns[f"{name}_part"] = parts(F.when(valid, amount(F.col(name))))
+        columns[name] = F.when(valid, finite(F.col(name)))
+        columns |= {f"{name}_{k}": part for k, part in enumerate(parts(columns[name]))}
 
-    def sums(name: str, alias: str, condition: Column | None = None) -> Column:
-        pair = (F.col(name), F.col(f"{name}_part"))
-        if condition is not None:
-            pair = tuple(F.when(condition, c) for c in pair)
-        return joined(F.sum(pair[0]), F.sum(pair[1])).alias(alias)
+    def of(name: str) -> list[Column]:
+        return [F.col(f"{name}_{k}") for k in range(5)]
+
+    week = F.col("week")
+    in_trend = [F.when(week.isNotNull(), part) for part in of("volume_usd")]
 
     return (
         rows.select(*[c.alias(n) for n, c in columns.items()])
@@ -61,14 +68,16 @@ def _measures(tx: DataFrame, as_of: Column) -> DataFrame:
             F.count("at").alias("dated"),
             F.max("at").alias("last"),
             *[F.count_if(c).alias(c) for c in ("recent_30", "recent_90", "valid")],
-            sums("volume_usd", "volume"),
-            sums("spread_bps", "spread"),
+            joined([F.sum(c) for c in of("volume_usd")]).alias("volume"),
+            joined([F.sum(c) for c in of("spread_bps")]).alias("spread"),
             F.count("spread_bps").alias("spreads"),
-            sums("minimum_spread", "minimum"),
+            joined([F.sum(c) for c in of("minimum_spread")]).alias("minimum"),
             F.count("minimum_spread").alias("minimums"),
             *[F.count_if(F.col("hour") == h).alias(f"h{h}") for h in _HOURS],
             *[F.count_if(F.col("day") == d).alias(f"d{d}") for d in _DAYS],
-            *[sums("volume_usd", f"w{w}", F.col("week") == w) for w in _WEEKS],
+            F.coalesce(F.bit_or(F.pow(F.lit(2), week).cast("int")), F.lit(0)).alias("weeks"),
+            *[F.sum(c).alias(f"trend_{k}") for k, c in enumerate(in_trend)],
+            *[F.sum(week * c).alias(f"tilt_{k}") for k, c in enumerate(in_trend)],
         )
         .where(F.col("dated") > 0)
     )
@@ -124,20 +133,20 @@ def _mode(prefix: str, values: range) -> Column:
 def _weekly_slope() -> Column:
     """Least-squares slope of weekly volume over the week index, 0 below two weeks.
 
-    Absent weeks are left out. Volumes are taken relative to the first present week and
-    multiplied out in DECIMAL, so equal weeks give exactly 0.
+    Absent weeks are left out. Sums are multiplied out limb by limb in DECIMAL, so equal
+    weeks give exactly 0.
     """
-    volumes = {w: F.col(f"w{w}") for w in _WEEKS}
-    present = {w: v.isNotNull().cast("int") for w, v in volumes.items()}
-    base = F.coalesce(*volumes.values())
-    n = sum(present.values(), F.lit(0))
+    weeks = F.col("weeks")
+    present = {w: F.getbit(weeks, F.lit(w)).cast("int") for w in _WEEKS}
+    n = F.bit_count(weeks)
     x = sum((F.lit(w) * p for w, p in present.items()), F.lit(0))
     xx = sum((F.lit(w * w) * p for w, p in present.items()), F.lit(0))
-    rise = sum(
-        (F.coalesce((v - base) * (n * F.lit(w) - x), F.lit(0)) for w, v in volumes.items()),
-        F.lit(0).cast("decimal(38,6)"),
-    )
-    return F.when(n < 2, F.lit(0.0)).otherwise(rise.cast("double") / (n * xx - x * x))
+
+    def rise(k: int) -> Column:
+        kind = "double" if k == 4 else "decimal(25,0)"
+        return n * F.col(f"tilt_{k}").cast(kind) - x * F.col(f"trend_{k}").cast(kind)
+
+    return F.when(n < 2, F.lit(0.0)).otherwise(joined([rise(k) for k in range(5)]) / (n * xx - x * x))
 
 
 def build_features(tx: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -152,11 +161,15 @@ def build_features(tx: DataFrame, as_of: Column | None = None) -> DataFrame:
 
 def weekly_volume(tx: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Volume per client and week of the trend window; empty weeks have no row."""
-    weeks = [
-        F.struct(F.lit(w).alias("week"), F.col(f"w{w}").cast("double").alias("volume_usd")) for w in _WEEKS
-    ]
-    per_client = _measures(tx, reference_date(tx) if as_of is None else as_of)
-    return per_client.select("client_id", F.inline(F.array(*weeks))).where(F.col("volume_usd").isNotNull())
+    rows = tx.where(F.col("balance_owner_uuid").isNotNull()).withColumn(
+        "_as_of", reference_date(tx) if as_of is None else as_of
+    )
+    return (
+        rows.select(F.col("balance_owner_uuid").alias("client_id"), _week(F.col("_as_of")).alias("week"), "volume_usd")
+        .where(F.col("week").isNotNull())
+        .groupBy("client_id", F.col("week").cast("int").alias("week"))
+        .agg(exact_sum(F.col("volume_usd")).alias("volume_usd"))
+    )
 
 
 def build_features_before(tx: DataFrame, cutoff: Column) -> DataFrame:

@@ -441,7 +441,9 @@ add("E31_label_summary", lambda b: churn.label_summary(b.churn_labels),
     "CAST(sum(churned) AS DOUBLE) / count(*) * 100 AS churn_rate FROM labels")
 add("E32_risk_counts", lambda b: churn.risk_counts(scores_of(b)), RISK_COUNTS)
 add("E33_broker_card", lambda b: rep.broker_card(b.features, b.opportunities), "SELECT * FROM card")
-add("E34_broker_kpis", lambda b: rep.broker_kpis(b.transactions, b.features), "SELECT * FROM kpis")
+add("E34_broker_kpis",
+    lambda b: rep.broker_kpis(b.transactions, b.features).withColumn("avg_volume_usd", F.round("avg_volume_usd", 6)),
+    "SELECT * REPLACE (round(avg_volume_usd, 6) AS avg_volume_usd) FROM kpis")
 add("E35_broker_types", lambda b: opps.type_counts(b.opportunities, "broker_id"),
     "SELECT broker_id, opportunity_type, count(*) AS n FROM opp GROUP BY 1, 2")
 add("E36_broker_segments", lambda b: rfm.segment_counts(b.features, "broker_id"), SEGMENTS_BY_BROKER)

@@ -322,9 +322,7 @@ STEPS: dict[str, str] = {
           CASE WHEN ntx IS NOT NULL THEN tvol / ntx ELSE favg END AS avg_volume_usd,
           coalesce(ntx, ftx) AS transactions, clients
         FROM (SELECT broker_id, CAST(sum(CAST(total_volume_usd AS DECIMAL(18,2))) AS DOUBLE) AS fvol,
-                CAST(sum(floor(avg_volume_usd)::BIGINT) * 1000000
-                  + sum(floor((avg_volume_usd - floor(avg_volume_usd)) * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT) AS DOUBLE)
-                  / 1000000 / count(*) AS favg,
+                avg(avg_volume_usd) AS favg,
                 CAST(sum(tx_count_completed) AS BIGINT) AS ftx, count(DISTINCT client_id) AS clients
               FROM feat GROUP BY 1)
           LEFT JOIN (SELECT broker_id, CAST(sum(CAST(volume_usd AS DECIMAL(18,2))) AS DOUBLE) AS tvol, count(*) AS ntx

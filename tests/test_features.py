@@ -38,7 +38,7 @@ def test_cleaning_of_odd_values(tx):
     assert [str(r["trigger_at_dt"]) for r in rows[:7]] == [
         "2001-06-05 13:00:05.123456", "2001-06-05 13:00:05", "None", "None", "2001-06-05 13:00:05", "None",
         "2001-06-05 11:00:05"]
-    assert [r["volume_usd"] for r in rows] == [112946.26, None, None, 0.0, -5.0, None, 100.0, None]
+    assert [r["volume_usd"] for r in rows] == [112946.26, None, None, 0.0, -5.0, None, 100.0, 1e300]
     assert [r["is_valid_completed"] for r in rows] == [True] + [False] * 7
     assert (rows[6]["has_broker"], rows[6]["broker_name_clean"], rows[6]["client_name_clean"]) == (False, None, None)
     assert (rows[7]["has_broker"], rows[7]["broker_id_clean"]) == (True, None)

@@ -40,6 +40,22 @@ def test_exact_sum_does_not_depend_on_order(spark):
     assert sums.pop() == pytest.approx(sum(sorted(values)), abs=1e-3)
 
 
+def test_exact_sum_of_very_large_and_very_small_numbers(spark):
+    values = [1e15, 1e-9, -1e15, 3e-7, 4e-7, 2.5, 7e17, -7e17]
+    sums = {
+        numbers(spark, v).repartition(n).agg(exact_sum(F.col("v")).alias("s")).first()["s"]
+        for n in (1, 3, 8) for v in (values, values[::-1])
+    }
+    assert sums == {2.500000701}
+    assert numbers(spark, [1e300, 2.0, None]).agg(exact_sum(F.col("v")).alias("s")).first()["s"] == 1e300
+    assert numbers(spark, [-0.1] * 10).agg(exact_sum(F.col("v")).alias("s")).first()["s"] == -1.0
+
+
+def test_exact_sum_does_not_overflow(spark):
+    total = spark.range(11_000_000).agg(exact_sum(F.lit(9e11) + F.col("id") % 2 * 0.5).alias("s")).first()["s"]
+    assert total == 11_000_000 * 9e11 + 2_750_000
+
+
 def test_exact_sum_of_nothing_is_null(spark):
     assert numbers(spark, [None]).agg(exact_sum(F.col("v")).alias("s")).first()["s"] is None
 
