@@ -29,24 +29,29 @@ def read_number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), finite(text.try_cast("double")))
 
 
-def parts(value: Column) -> tuple[Column, ...]:
-    """Four BIGINT limbs of ``value`` and, beyond 10^18, the value itself as a fifth part.
+def halves(value: Column) -> tuple[Column, Column, Column]:
+    """Whole units and 10^-14ths of ``value`` as BIGINT; the value itself beyond 10^18.
 
-    Adding limbs instead of doubles gives the same sum in whatever order rows arrive, so a
-    recomputed task cannot move a client across a bucket edge. Unlike DECIMAL sums they
-    stay fixed-width in hash aggregates. A number counts with 15 significant digits and at
-    most 14 decimal places, which keeps every amount that is written in so many.
+    A number counts with 15 significant digits and at most 14 decimal places, which keeps
+    every amount that is written in so many.
     """
     inside = F.when(F.abs(value) < _EXACT_BELOW, value).when(value.isNotNull(), 0.0)
     whole = inside.cast("bigint")
     digits = F.greatest(_PLACES - F.floor(F.log10(F.greatest(F.abs(inside), F.lit(1.0)))), F.lit(0))
     kept = F.rint((inside - whole) * F.pow(F.lit(10.0), digits))
     fraction = (kept * F.pow(F.lit(10.0), _PLACES - digits)).cast("bigint")
-    limbs = []
-    for number in (whole, fraction):
-        low = number % _LIMB
-        limbs += [F.rint((number - low) / _LIMB).cast("bigint"), low]
-    return *limbs, F.when(F.abs(value) >= _EXACT_BELOW, value)
+    return whole, fraction, F.when(F.abs(value) >= _EXACT_BELOW, value)
+
+
+def parts(whole: Column, fraction: Column, beyond: Column) -> tuple[Column, ...]:
+    """Four BIGINT limbs of a number's halves, and what is beyond them.
+
+    Adding limbs instead of doubles gives the same sum in whatever order rows arrive, so a
+    recomputed task cannot move a client across a bucket edge. Unlike DECIMAL sums they
+    stay fixed-width in hash aggregates.
+    """
+    limbs = [limb for n in (whole, fraction) for limb in (F.call_function("div", n, F.lit(_LIMB)), n % _LIMB)]
+    return *limbs, beyond
 
 
 def joined(sums: Sequence[Column]) -> Column:
@@ -60,7 +65,7 @@ def joined(sums: Sequence[Column]) -> Column:
 
 def exact_sum(value: Column) -> Column:
     """Sum as DOUBLE that does not depend on the order of rows."""
-    return joined([F.sum(part) for part in parts(value)])
+    return joined([F.sum(part) for part in parts(*halves(value))])
 
 
 def ratio(total: Column, count: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bookpulse import schemas
 from bookpulse.fixed_values import DIRECT_BROKER, RECENT_DAYS, TREND_WEEKS
-from bookpulse.functions.numbers import exact_sum, finite, joined, parts, ratio
+from bookpulse.functions.numbers import exact_sum, finite, halves, joined, parts, ratio
 from bookpulse.operators.cleaning import reference_date
 
 _HOURS, _DAYS = range(24), range(7)
@@ -51,9 +51,14 @@ def _measures(tx: DataFrame, as_of: Column) -> DataFrame:
         "valid": valid,
         "week": _week(now),
     }
-    for name in ("volume_usd", "spread_bps", "minimum_spread"):
-        columns[name] = F.when(valid, finite(F.col(name)))
-        columns |= {f"{name}_{k}": part for k, part in enumerate(parts(columns[name]))}
+    amounts = ("volume_usd", "spread_bps", "minimum_spread")
+    columns |= {name: F.when(valid, finite(F.col(name))) for name in amounts}
+    # One step after another, so that no expression is written out for each of its uses.
+    split = {f"{name}_{k}": half for name in amounts for k, half in zip("wfb", halves(F.col(name)))}
+    limbs = {
+        f"{name}_{k}": part
+        for name in amounts for k, part in enumerate(parts(*[F.col(f"{name}_{h}") for h in "wfb"]))
+    }
 
     def of(name: str) -> list[Column]:
         return [F.col(f"{name}_{k}") for k in range(5)]
@@ -62,7 +67,7 @@ def _measures(tx: DataFrame, as_of: Column) -> DataFrame:
     in_trend = [F.when(week.isNotNull(), part) for part in of("volume_usd")]
 
     return (
-        rows.select(*[c.alias(n) for n, c in columns.items()])
+        rows.select(*[c.alias(n) for n, c in columns.items()]).withColumns(split).withColumns(limbs)
         .groupBy("client_id")
         .agg(
             F.count("at").alias("dated"),
