@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,12 @@ LONG_SPACE = 4096
 _CUT = re.compile(r"(\s{%d})" % LONG_SPACE)
 #: A conversation is written in rows of about so many ids; a turn is never cut.
 CHUNK_IDS = 1 << 20
+DECODED = (
+    "conv_id bigint, chunk bigint, n_turns bigint, turns binary, lost binary, loss_chars bigint, formatted_chars bigint"
+)
+DIGESTS = (
+    "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+)
 FORMATTED = "conv_id bigint, chunk bigint, n_turns bigint, input_ids array<int>, loss_mask array<tinyint>, formatted string"
 
 
@@ -146,13 +153,15 @@ def _values(column: pa.Array) -> Iterator | list:
 def format_conversations(rows: DataFrame, tokenizer: str, chunk_ids: int = CHUNK_IDS) -> DataFrame:
     """conv_id, chunk, n_turns, input_ids, loss_mask and formatted string, in turn order.
 
-    Turns are sorted per conversation and streamed, so a task holds one chunk of one
-    conversation however long that is.
+    Turns are range-sorted by conversation and turn and streamed: a task holds one chunk,
+    and a conversation with a third of all turns is spread over as many tasks. Chunk
+    numbers ascend within a conversation, with gaps where it goes on in the next task.
     """
     importable(rows.sparkSession)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, conv, chunk, turns, size = template_of(tokenizer), None, 0, [], 0
+        template, conv, turns, size = template_of(tokenizer), None, [], 0
+        first = chunk = TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
             ids, mask, formatted = template.turns(turns)
@@ -167,12 +176,10 @@ def format_conversations(rows: DataFrame, tokenizer: str, chunk_ids: int = CHUNK
         for new, (key, role, text) in _conversations(batches):
             if turns and (new or size >= chunk_ids):
                 out.append(flush())
-                chunk, turns, size = 0 if new else chunk + 1, [], 0
+                chunk, turns, size = first if new else chunk + 1, [], 0
                 if len(out) >= 500 or not new:
                     yield from _together(out)
                     out = []
-            elif new:
-                chunk = 0
             conv = key
             turns.append((role or "", text or ""))
             size += len(text or "") + 8
@@ -182,7 +189,7 @@ def format_conversations(rows: DataFrame, tokenizer: str, chunk_ids: int = CHUNK
 
     own = own_columns(rows, "conv_id", "turn", "role", "text")
     return (
-        own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+        own.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
         .select(F.col("conv_id").cast("bigint"), "role", "text").mapInArrow(assemble, FORMATTED)
     )
 
@@ -196,12 +203,26 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
     """Digests of each conversation, computed from the written ids and masks alone.
 
     conv_id, n_turns, turns_sha256 (role, newline, text, newline per turn), loss_chars and
-    loss_sha256 (unescaped text under the mask), formatted_chars (code points).
+    loss_sha256 (unescaped text under the mask), formatted_chars (code points). Chunks are
+    decoded where they lie; a digest takes them in order, so the decoded texts of one
+    conversation stream through one task, a chunk at a time.
     """
     importable(formatted.sparkSession)
 
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        template = template_of(tokenizer)
+        for batch in batches:
+            out = []
+            for conv, chunk, ids, mask, text in zip(*map(_values, batch.columns)):
+                turns = [f"{role}\n{content}\n" for role, content in template.read(ids)]
+                lost = template.decode(ids[mask == 1])
+                out.append((conv, chunk, len(turns), "".join(turns).encode(), lost.encode(), len(lost), len(text)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            columns = list(zip(*out)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _names(DECODED))
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, state, out = template_of(tokenizer), None, []
+        state, out = None, []
 
         def done() -> None:
             if state:
@@ -210,34 +231,30 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
 
         def batch_of() -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], _names(DIGESTS))
 
-        for new, (conv, ids, mask, text) in _conversations(batches):
+        for new, (conv, n, turns, lost, lost_chars, chars) in _conversations(batches):
             if new:
                 done()
                 if len(out) >= 10_000:
                     yield batch_of()
                     out = []
                 state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, content in template.read(ids):
-                state[1] += 1
-                state[2].update(f"{role}\n{content}\n".encode())
-            lost = template.decode(ids[mask == 1])
-            state[3] += len(lost)
-            state[4].update(lost.encode())
-            state[5] += len(text)
+            state[1] += n
+            state[2].update(turns)
+            state[3] += lost_chars
+            state[4].update(lost)
+            state[5] += chars
         done()
         if out:
             yield batch_of()
 
     return (
-        formatted.select("conv_id", "chunk", "input_ids", "loss_mask", "formatted")
-        .repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
-        .select("conv_id", "input_ids", "loss_mask", "formatted")
-        .mapInArrow(
-            digest,
-            "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
-            "formatted_chars bigint",
-        )
+        formatted.select("conv_id", "chunk", "input_ids", "loss_mask", "formatted").mapInArrow(decode, DECODED)
+        .repartition("conv_id").sortWithinPartitions("conv_id", "chunk").drop("chunk")
+        .mapInArrow(digest, DIGESTS)
     )
+
+
+def _names(schema: str) -> list[str]:
+    return [column.split()[0] for column in schema.split(", ")]

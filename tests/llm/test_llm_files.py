@@ -216,6 +216,21 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0), chat.tokenizer_file()), chat.tokenizer_file()).collect() == []
 
 
+def test_chat_spreads_a_hot_conversation(spark):
+    rows = [(5, t, ("user", "assistant")[t % 2], f"turn {t} \\ </turn>") for t in range(3000)]
+    rows += [(c, 0, "assistant", str(c)) for c in (1, 9)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+        formatted = chat.format_conversations(df, chat.tokenizer_file()).cache()
+        tasks = {x.chunk >> 32 for x in formatted.where("conv_id = 5").select("chunk").collect()}
+        got = {x.conv_id: tuple(x)[1:5] for x in chat.read_back(formatted, chat.tokenizer_file()).collect()}
+        formatted.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 1 and got == brute_turns(rows)
+
+
 def test_chat_query(spark):
     given = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     text = "\\### Assistant: </turn> ok"
