@@ -10,16 +10,17 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookpulse import schemas
-from bookpulse.fixed_values import MODEL_FEATURES
+from bookpulse.fixed_values import CHURN_WINDOW_DAYS, MODEL_FEATURES
 from bookpulse.functions.text import plain
 from bookpulse.operators import labels as churn
 from bookpulse.operators import metrics
 from bookpulse.session import keep_checkpoints, stage
 
+LEARNER = "gradient-boosted trees"
 ROUNDS, DEPTH, RATE, ROW_SHARE, COLUMN_SHARE, SEED = 300, 4, 0.05, 0.8, 0.8, 42
 
 
@@ -108,9 +109,14 @@ def top_risk(scores: DataFrame, rows: int = 10) -> DataFrame:
 
 
 def churn_report(
-    features: DataFrame, labels: DataFrame, validated: DataFrame, model: PipelineModel | None, scores: DataFrame
+    features: DataFrame, labels: DataFrame, validated: DataFrame, model: PipelineModel | None, scores: DataFrame,
+    reference: Column | None = None, window_days: int = CHURN_WINDOW_DAYS,
 ) -> DataFrame:
-    """Model report as ``(section, key, value)`` rows; importances only with a ``model``."""
+    """Model report as ``(section, key, value)`` rows.
+
+    The head names the learner with its rounds, and importances are listed, if there is a
+    ``model``; the reference date is in epoch seconds.
+    """
 
     def wide(section: str, df: DataFrame) -> DataFrame:
         names = df.columns
@@ -127,14 +133,20 @@ def churn_report(
     parts = [
         wide("dataset", features.agg(F.count(F.lit(1)).alias("clients"))),
         wide("dataset", churn.label_summary(labels)),
-        wide("metrics", metrics.roc_auc(validated)),
-        wide("metrics", metrics.average_precision(validated)),
+        wide("metrics", metrics.ranking_metrics(validated)),
         lines,
         churn.risk_counts(scores).select(
             F.lit("risk").alias("section"), F.col("risk_label").alias("key"),
             F.col("clients").cast("double").alias("value"),
         ),
     ]
+    head = [(f"learner: {LEARNER}", F.lit(float(model.stages[-1].getNumTrees)))] if model is not None else []
+    if reference is not None:
+        head.append(("reference_date", F.unix_micros(reference) / F.lit(1e6)))
+    head.append(("window_days", F.lit(float(window_days))))
+    parts.insert(0, SparkSession.active().range(1).select(F.inline(F.array(*[
+        F.struct(F.lit("head").alias("section"), F.lit(key).alias("key"), value.alias("value")) for key, value in head
+    ]))))
     if model is not None:
         parts.append(importances(model).select(
             F.lit("importance").alias("section"), F.col("feature").alias("key"),
@@ -144,5 +156,8 @@ def churn_report(
 
 
 def report_text(report: DataFrame) -> DataFrame:
-    """The report with values formatted to three digits."""
-    return report.withColumn("text", plain(F.col("value"), 3))
+    """The report with values formatted to three digits, the reference date as a date."""
+    date = F.date_format(F.timestamp_micros((F.col("value") * 1_000_000).cast("bigint")), "yyyy-MM-dd")
+    return report.withColumn(
+        "text", F.when(F.col("key") == "reference_date", date).otherwise(plain(F.col("value"), 3))
+    )

@@ -20,6 +20,7 @@ from bookpulse.fixed_values import (
     TEMPLATE_SOURCE,
 )
 from bookpulse.functions.text import day_name, fill, grouped, plain, signed_word
+from bookpulse.operators.opportunities import filter_opportunities, preview
 
 COMPANY = "Casa de Cambio"
 
@@ -103,6 +104,19 @@ def messages(
     ).select(schemas.MESSAGES.names)
 
 
+def preview_texts(opportunities: DataFrame, rows: int = 2, company: str = COMPANY, signature: str | None = None) -> DataFrame:
+    """First opportunities of each broker with their rendered template."""
+    return preview(opportunities, rows).select(
+        "broker_id", F.col("position").cast("bigint").alias("position"), "client_id", "opportunity_type",
+        message_text(company, signature).alias("message"),
+    )
+
+
+def default_messages(messages_: DataFrame) -> DataFrame:
+    """What a message list shows at first: high and medium priority, all types."""
+    return filter_opportunities(messages_, ("high", "medium"))
+
+
 def source_counts(messages_: DataFrame) -> DataFrame:
     """Messages per broker: all, written by a model, from templates."""
     by_model = F.col("source") == MODEL_SOURCE

@@ -7,60 +7,81 @@ bringing all clients into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookpulse.functions.numbers import ratio
-from bookpulse.functions.running import row_numbers, running_totals
+from bookpulse.functions.running import running_totals
 
 FOLDS, SEED = 5, 42
+#: Groups of clients that are numbered on their own; bounds the rows of one numbering.
+BUCKETS = 4096
 
 
 def stratified_folds(labels: DataFrame, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
-    """Add ``fold``: shuffled by a seeded hash, class counts per fold differ by at most 1."""
-    shuffled = labels.withColumn("_shuffle", F.xxhash64("client_id", F.lit(seed)))
-    numbered = row_numbers(shuffled, ["churned"], [F.col("_shuffle"), F.col("client_id")], "_n")
-    return numbered.withColumn("fold", ((F.col("_n") - 1) % folds).cast("int")).drop("_shuffle", "_n")
+    """Add ``fold``: shuffled by a seeded hash, class counts per fold differ by at most 1.
 
+    Clients are numbered within hash buckets, in one shuffle; the number of clients in the
+    buckets before (a table of two classes times ``BUCKETS`` rows) is added. Reads
+    ``labels`` twice: pass a written table.
+    """
+    mixed = F.xxhash64("client_id", F.lit(seed))
+    bucket = F.pmod(mixed, F.lit(BUCKETS)).alias("_bucket")
+    counts = labels.groupBy("churned", bucket).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("churned").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        "churned", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy("churned", "_bucket").orderBy("_shuffle", "client_id")
+    numbered = labels.select("*", mixed.alias("_shuffle"), bucket).withColumn("_n", F.row_number().over(inside))
+    fold = ((F.col("_before") + F.col("_n") - 1) % folds).cast("int")
+    return numbered.join(offsets, ["churned", "_bucket"]).select(*labels.columns, fold.alias("fold"))
+
+
+def threshold_table(scored: DataFrame) -> DataFrame:
+    """Per distinct probability: positives and negatives, there and so far in ascending order.
 
-def _thresholds(scored: DataFrame, *, descending: bool) -> DataFrame:
-    """Per distinct probability: positives, negatives and both accumulated so far."""
-    p = F.col("churn_probability")
+    Written once; ranks, precision and recall all follow from it.
+    """
     per_value = scored.groupBy("churn_probability").agg(
         F.count_if(F.col("churned") == 1).alias("positives"),
         F.count_if(F.col("churned") == 0).alias("negatives"),
     )
     return running_totals(
-        per_value, [], [p.desc() if descending else p],
+        per_value, [], [F.col("churn_probability")],
         {"positives_so_far": F.col("positives"), "negatives_so_far": F.col("negatives")},
     )
 
 
-def rank_table(scored: DataFrame) -> DataFrame:
-    """Average rank (from 1, ascending) shared by all clients with one probability."""
+def _ranked(thresholds: DataFrame) -> DataFrame:
     tied = F.col("positives") + F.col("negatives")
     so_far = F.col("positives_so_far") + F.col("negatives_so_far")
-    return _thresholds(scored, descending=False).select(
-        "churn_probability", "positives", "negatives",
-        (so_far - (tied - 1) / F.lit(2.0)).alias("average_rank"),
+    return thresholds.withColumn("average_rank", so_far - (tied - 1) / F.lit(2.0))
+
+
+def _recalled(thresholds: DataFrame) -> DataFrame:
+    """Counts at or above each probability: all of them less those below."""
+    positives, negatives = (thresholds.agg(F.sum(c)).scalar() for c in ("positives", "negatives"))
+    found = positives - F.col("positives_so_far") + F.col("positives")
+    wrong = negatives - F.col("negatives_so_far") + F.col("negatives")
+    return thresholds.select(
+        "churn_probability", "positives", found.alias("positives_so_far"), wrong.alias("negatives_so_far"),
+        (found / (found + wrong)).alias("precision"), ratio(found, positives).alias("recall"),
     )
 
 
+def rank_table(scored: DataFrame) -> DataFrame:
+    """Average rank (from 1, ascending) shared by all clients with one probability."""
+    return _ranked(threshold_table(scored)).select("churn_probability", "positives", "negatives", "average_rank")
+
+
 def precision_recall_table(scored: DataFrame) -> DataFrame:
     """Precision and recall when everything at or above each probability is called churned."""
-    positives = scored.agg(F.count_if(F.col("churned") == 1)).scalar()
-    found = F.col("positives_so_far")
-    return _thresholds(scored, descending=True).select(
-        "churn_probability", "positives", "positives_so_far", "negatives_so_far",
-        (found / (found + F.col("negatives_so_far"))).alias("precision"),
-        ratio(found, positives).alias("recall"),
-    )
+    return _recalled(threshold_table(scored))
 
 
-def roc_auc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve from average ranks (one row)."""
-    ranks = rank_table(scored)
-    totals = ranks.agg(
+def _area(thresholds: DataFrame) -> DataFrame:
+    totals = _ranked(thresholds).agg(
         F.sum("positives").alias("p"), F.sum("negatives").alias("n"),
         # twice the rank is a whole number: exact whatever the order of rows
         F.sum((F.col("average_rank") * 2).cast("decimal(20,0)") * F.col("positives")).alias("twice"),
@@ -70,14 +91,28 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     return totals.select(F.when((p > 0) & (n > 0), area).alias("roc_auc"))
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
-    """Step-wise area under precision over recall (one row)."""
-    steps = precision_recall_table(scored)
-    return steps.agg(
+def _step_area(thresholds: DataFrame) -> DataFrame:
+    return _recalled(thresholds).agg(
         (F.sum(F.col("positives") * F.col("precision")) / F.sum("positives")).alias("average_precision")
     )
 
 
+def roc_auc(scored: DataFrame) -> DataFrame:
+    """Area under the ROC curve from average ranks (one row)."""
+    return _area(threshold_table(scored))
+
+
+def average_precision(scored: DataFrame) -> DataFrame:
+    """Step-wise area under precision over recall (one row)."""
+    return _step_area(threshold_table(scored))
+
+
+def ranking_metrics(scored: DataFrame) -> DataFrame:
+    """Both areas in one row, from one threshold table."""
+    thresholds = threshold_table(scored)
+    return _area(thresholds).select("roc_auc", _step_area(thresholds).scalar().alias("average_precision"))
+
+
 def _f1(precision: Column, recall: Column) -> Column:
     both = precision + recall
     return F.when(both > 0, 2 * precision * recall / both).otherwise(0.0)

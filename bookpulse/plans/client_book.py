@@ -132,7 +132,7 @@ class ClientBook:
         return self._table(
             "churn_report",
             lambda: churn_model.churn_report(
-                self.features, self.churn_labels, self.validated, self.model, self.churn_scores
+                self.features, self.churn_labels, self.validated, self.model, self.churn_scores, self.reference_date
             ).coalesce(1),
         )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from bookpulse.session import prepare, work_folder
 from bookpulse.sources.tables import type_raw
 
 LAG_DAYS = (0, 0, 0, 0, 20, 70, 120, 250)
-ROUNDS = 8      # boosting rounds of the registered model queries
+#: Boosting rounds of the registered model queries; the unit tests set a smaller number.
+ROUNDS = int(os.environ.get("BOOK_ROUNDS", churn_model.ROUNDS))
 
 _BOOKS: dict[tuple[str, str], ClientBook] = {}
 

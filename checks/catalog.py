@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from bookpulse.operators import opportunities as opps
 from bookpulse.plans.client_book import ClientBook
 from bookpulse.sources import tables
 from checks import oracle as o
-from checks.book import fixed_scores, outside_texts
+from checks.book import ROUNDS, fixed_scores, outside_texts
 
 Query = Callable[[ClientBook], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,6 +148,8 @@ add("A9_write_scores",
     f"SELECT {SCORE_ROW} FROM scores")
 add("A10_churn_report", lambda b: churn_model.report_text(b.churn_report))
 add("A11_model_save_load", reloaded_model_scores)
+add("A11_reloaded_difference", lambda b: reloaded_difference(b),
+    f"SELECT client_id, true AS same, '{', '.join(fv.MODEL_FEATURES)}' AS inputs FROM feat")
 add("A12_upsert_messages", upserted, UPSERTED)
 
 # --- B. projections --------------------------------------------------------------------
@@ -300,6 +303,12 @@ add("C17_preview",
     f"SELECT {OPP_KEY}, row_number() OVER (PARTITION BY broker_id ORDER BY rule_no, rank_in_rule) AS position "
     "FROM ranked_opp WHERE opportunity_type <> 'BEST_TIME' QUALIFY position <= 2")
 
+add("C17_preview_texts", lambda b: msg.preview_texts(b.opportunities),
+    f"SELECT broker_id, position, client_id, opportunity_type, message FROM (SELECT {OPP_KEY}, "
+    "row_number() OVER (PARTITION BY broker_id ORDER BY rule_no, rank_in_rule) AS position "
+    "FROM ranked_opp WHERE opportunity_type <> 'BEST_TIME' QUALIFY position <= 2) "
+    "JOIN (SELECT client_id, opportunity_type, message FROM msg) USING (client_id, opportunity_type)")
+
 
 # --- D. joins ------------------------------------------------------------------------------
 def reference_attached(b: ClientBook) -> DataFrame:
@@ -541,6 +550,8 @@ add("K4_message_filters",
     lambda b: opps.filter_opportunities(
         msg.messages(b.opportunities), ("high", "medium"), ("CHURN_RISK", "UPSELL")),
     f"SELECT {MESSAGE_ROW} FROM msg WHERE priority IN ('high', 'medium') AND opportunity_type IN ('CHURN_RISK', 'UPSELL')")
+add("K4_message_defaults", lambda b: msg.default_messages(msg.messages(b.opportunities)),
+    f"SELECT {MESSAGE_ROW} FROM msg WHERE priority IN ('high', 'medium')")
 
 
 # --- M. churn model -----------------------------------------------------------------------------------
@@ -556,10 +567,70 @@ def importance_ranks(b: ClientBook) -> DataFrame:
 
 def metrics_row(b: ClientBook) -> DataFrame:
     scored = scored_of(b)
-    area, precision = metrics.roc_auc(scored), metrics.average_precision(scored)
-    return area.select(
-        F.round("roc_auc", 9).alias("roc_auc"),
-        F.round(precision.scalar(), 9).alias("average_precision"))
+    return metrics.ranking_metrics(scored).select(
+        *[F.round(c, 9).alias(c) for c in ("roc_auc", "average_precision")])
+
+
+def fits(scores: DataFrame, *extra: str) -> DataFrame:
+    """What must hold for each row of a score table, whatever the model gives."""
+    p, score = F.col("churn_probability"), F.col("churn_score")
+    return scores.select(
+        "client_id", *extra, p.between(0, 1).alias("in_range"),
+        (F.abs(score - p * 100) <= 0.5 + 1e-9).alias("score_fits"),
+        F.expr("risk_label = CASE " + " ".join(
+            f"WHEN churn_probability <= {limit} THEN '{name}'" for name, limit in zip(fv.RISK_LABELS, fv.RISK_LIMITS)
+        ) + f" ELSE '{fv.RISK_LABELS[-1]}' END").alias("label_fits"))
+
+
+FITS = "true AS in_range, true AS score_fits, true AS label_fits"
+
+
+def tree_facts(b: ClientBook) -> DataFrame:
+    """Size of the stored model, beside each client that it scores."""
+    trees = b.model.stages[-1]
+    deepest = max(t.depth for t in trees.trees)
+    return b.churn_scores.select(
+        "client_id", F.lit(trees.getNumTrees).alias("rounds"),
+        F.lit(deepest <= churn_model.DEPTH).alias("shallow"),
+        F.lit(round(min(trees.treeWeights), 9)).alias("rate"), F.lit(trees.numFeatures).alias("inputs"))
+
+
+def reloaded_difference(b: ClientBook) -> DataFrame:
+    """Per client, whether the saved and loaded model gives the score of the model in use."""
+    again = reloaded_model_scores(b).select("client_id", F.col("churn_probability").alias("again"), "inputs")
+    return b.churn_scores.join(again, "client_id").select(
+        "client_id", (F.abs(F.col("churn_probability") - F.col("again")) < 1e-12).alias("same"), "inputs")
+
+
+def fold_sizes(b: ClientBook) -> DataFrame:
+    p = F.col("churn_probability")
+    return b.validated.groupBy("churned", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("client_id").alias("clients"),
+        F.min(p.between(0, 1)).alias("in_range"))
+
+
+def evaluator_agrees(b: ClientBook) -> DataFrame:
+    """The area under the out-of-fold ROC curve against Spark ML's evaluator; clients on both sides."""
+    raw = b.validated.select(F.col("churned").cast("double").alias("label"), F.col("churn_probability").alias("raw"))
+    area = BinaryClassificationEvaluator(rawPredictionCol="raw", labelCol="label", numBins=0).evaluate(raw)
+    counted = b.validated.agg(
+        F.count_if(F.col("churned") == 1).alias("churned"), F.count_if(F.col("churned") == 0).alias("active"))
+    ours = metrics.ranking_metrics(b.validated)
+    return counted.select(
+        "churned", "active", (F.abs(ours.select("roc_auc").scalar() - F.lit(area)) < 1e-9).alias("roc_agrees"),
+        ours.select("average_precision").scalar().between(0, 1).alias("precision_in_range"))
+
+
+def importance_facts(b: ClientBook) -> DataFrame:
+    found = churn_model.importances(b.model)     # ten rows
+    total = found.agg(F.round(F.sum("importance"), 9)).scalar()
+    return found.select("feature", (F.col("importance") >= 0).alias("positive"), total.alias("total"))
+
+
+def report_facts(report: DataFrame) -> DataFrame:
+    """Keys of the report; values where they do not depend on the model."""
+    known = F.col("section").isin("head", "dataset")
+    return report.select("section", "key", F.when(known, F.round("value", 9)).alias("value"))
 
 
 FEATURE_LIST = ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE)" for c in fv.MODEL_FEATURES)
@@ -575,20 +646,31 @@ add("M1_feature_vectors", feature_vectors,
     "SELECT client_id, CAST(unnest(range(10)) AS INTEGER) AS position, "
     f"unnest([{FEATURE_LIST}]) AS value FROM feat JOIN labels USING (client_id)")
 add("M2_boosted_trees",
-    lambda b: churn_model.score_clients(churn_model.fit(b.training, b.rounds), b.features))
+    lambda b: churn_model.score_clients(b.model, b.features))
+add("M2_tree_facts", tree_facts,
+    f"SELECT client_id, {ROUNDS} AS rounds, true AS shallow, 0.05::DOUBLE AS rate, 10 AS inputs FROM feat")
 add("M3_out_of_fold", lambda b: b.validated)
+add("M3_fold_sizes", fold_sizes,
+    "SELECT churned, CAST((i - 1) % 5 AS INTEGER) AS fold, count(*) AS n, count(*) AS clients, true AS in_range FROM "
+    "(SELECT churned, row_number() OVER (PARTITION BY churned ORDER BY client_id) AS i FROM labels) GROUP BY 1, 2")
 add("M4_ranking_metrics", metrics_row,
     "SELECT round((SELECT sum(t.pos * ((SELECT coalesce(sum(neg), 0) FROM thresholds u "
     "WHERE u.churn_probability < t.churn_probability) + t.neg / 2.0::DOUBLE)) / (sum(t.pos) * sum(t.neg)) "
     "FROM thresholds t), 9) AS roc_auc, round((SELECT sum(pos * (CAST(cpos AS DOUBLE) / (cpos + cneg))) / sum(pos) "
     "FROM pr), 9) AS average_precision")
-add("M4_out_of_fold_metrics",
-    lambda b: metrics.roc_auc(b.validated).select(
-        "roc_auc", metrics.average_precision(b.validated).scalar().alias("average_precision")))
+add("M4_out_of_fold_metrics", lambda b: metrics.ranking_metrics(b.validated))
+add("M4_evaluator_agrees", evaluator_agrees,
+    "SELECT count(*) FILTER (WHERE churned = 1) AS churned, count(*) FILTER (WHERE churned = 0) AS active, "
+    "true AS roc_agrees, true AS precision_in_range FROM labels")
 add("M5_classification_report", rounded_report, f"SELECT {LINES} FROM report_lines")
 add("M6_final_fit", lambda b: churn_model.score_clients(b.model, b.features).select("client_id", "churn_probability"))
+add("M6_final_fit_facts", lambda b: fits(churn_model.score_clients(b.model, b.features)), f"SELECT client_id, {FITS} FROM feat")
 add("M7_importances", importance_ranks)
+add("M7_importance_facts", importance_facts,
+    f"SELECT unnest([{', '.join(map(o.quote, fv.MODEL_FEATURES))}]) AS feature, true AS positive, 1.0::DOUBLE AS total")
 add("M8_score_clients", lambda b: b.churn_scores)
+add("M8_score_facts", lambda b: fits(b.churn_scores, "client_name", "broker_id", "broker_name", "segment"),
+    f"SELECT client_id, client_name, broker_id, broker_name, segment, {FITS} FROM feat")
 add("M9_features_before_cutoff",
     lambda b: cf.build_features_before(b.transactions, churn.label_cutoff(b.transactions)),
     f"SELECT {o.FEATURE_COLUMNS} FROM p_base")
@@ -655,6 +737,16 @@ add("P9_opportunity_totals", lambda b: rep.opportunity_totals(b.opportunities),
 add("P10_profile_report",
     lambda b: profile.profile_report(b.transactions).withColumn(
         "value", F.when(F.col("section") == "volume", F.round("value", 6)).otherwise(F.col("value"))), EDA)
+HEAD = f"""
+    SELECT 'head' AS section, 'learner: {churn_model.LEARNER}' AS key, CAST({ROUNDS} AS DOUBLE) AS value
+    UNION ALL SELECT 'head', 'reference_date', epoch_us(max(ts)) / 1e6::DOUBLE FROM tx
+    UNION ALL SELECT 'head', 'window_days', CAST({fv.CHURN_WINDOW_DAYS} AS DOUBLE)"""
+NAMED = f"SELECT 'importance' AS section, unnest([{', '.join(map(o.quote, fv.MODEL_FEATURES))}]) AS key"
 add("P11_churn_report",
-    lambda b: churn_model.churn_report(b.features, b.churn_labels, scored_of(b), None, scores_of(b))
-    .withColumn("value", F.round("value", 9)), REPORT)
+    lambda b: churn_model.churn_report(
+        b.features, b.churn_labels, scored_of(b), b.model, scores_of(b), b.reference_date)
+    .withColumn("value", F.when(F.col("section") != "importance", F.round("value", 9))),
+    f"{REPORT} UNION ALL {HEAD} UNION ALL SELECT section, key, CAST(NULL AS DOUBLE) FROM ({NAMED})")
+add("A10_report_facts", lambda b: report_facts(b.churn_report),
+    f"SELECT section, key, CASE WHEN section = 'dataset' THEN value END AS value FROM ({REPORT}) "
+    f"UNION ALL {HEAD} UNION ALL SELECT section, key, CAST(NULL AS DOUBLE) FROM ({NAMED})")

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+os.environ.setdefault("BOOK_ROUNDS", "8")  # a fit of all rounds takes over a minute
 
 
 @pytest.fixture(scope="session")

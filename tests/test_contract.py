@@ -8,7 +8,6 @@ from checks.compare import TABLES, difference
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, TWINS = contract.queries(), contract.oracle_sql()
-SLOW = {"A10_churn_report", "M3_out_of_fold", "M4_out_of_fold_metrics"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +18,7 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("key", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, con, key):
     df = QUERIES[key](spark, FOLDER)
     rows = [tuple(r) for r in df.collect()]
