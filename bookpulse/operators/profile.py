@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookpulse.fixed_values import HISTOGRAM_BINS
-from bookpulse.functions.numbers import exact_sum
+from bookpulse.functions.numbers import exact_sum, halves, joined, parts
 from bookpulse.functions.quantiles import exact_quantiles
 from bookpulse.operators.cleaning import completed_with_broker
+from bookpulse.session import stage
 
 PROFILED = (
     "balance_owner_uuid", "balance_owner_name", "intermediary_uuid", "intermediary_name",
     "trigger_at", "status", "volume_usd", "spread_bps", "minimum_spread", "profit_spread_bps",
 )
 BROKER = ("intermediary_uuid", "intermediary_name")
+CELL = ("status", *BROKER, "has_broker", "balance_owner_uuid")
 
 
 def load_quality(tx: DataFrame) -> DataFrame:
@@ -84,14 +86,17 @@ def volume_percentiles(
     tx: DataFrame, percents: tuple[int, ...] = (25, 50, 75, 95, 99), approximate: bool = False
 ) -> DataFrame:
     """Volume percentiles, one row each. Exact by default; a sketch on request."""
-    volumes = _positive_volume(tx)
+    return _percentiles(_positive_volume(tx), percents, approximate)
+
+
+def _percentiles(volumes: DataFrame, percents: tuple[int, ...] = (25, 50, 75, 95, 99), approximate: bool = False) -> DataFrame:
     points = [p / 100 for p in percents]
     if approximate:
         one_row = volumes.agg(F.percentile_approx("volume_usd", points, 10_000).alias("v"))
         values: list[Column] = [F.get("v", F.lit(i)) for i in range(len(points))]
     else:
         found = exact_quantiles(volumes, {"volume_usd": points})["volume_usd"]
-        one_row = tx.sparkSession.range(1)
+        one_row = volumes.sparkSession.range(1)
         values = [F.lit(v) for v in found] if found else [F.lit(None).cast("double")] * len(points)
     lines = [
         F.struct(F.lit(p).alias("percent"), v.alias("volume_usd")) for p, v in zip(percents, values)
@@ -135,7 +140,11 @@ def volume_histogram(tx: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
 
     The last bin is closed; empty bins are listed with 0.
     """
-    logs = _positive_volume(tx).select(F.log10(F.greatest("volume_usd", F.lit(1.0))).alias("x"))
+    return _histogram(_positive_volume(tx), bins)
+
+
+def _histogram(volumes: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    logs = volumes.select(F.log10(F.greatest("volume_usd", F.lit(1.0))).alias("x"))
     ends = logs.agg(F.struct(F.min("x").alias("low"), F.max("x").alias("high"))).scalar()
     low, high = ends["low"], ends["high"]
     # A single distinct value is given a bin range of one, centred on it.
@@ -151,8 +160,26 @@ def volume_histogram(tx: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     )
 
 
+def profile_cells(tx: DataFrame) -> DataFrame:
+    """Counts and sums per status, broker and client: what all grouped profile lines add up from.
+
+    One scan with map-side combining; a row per combination that occurs, nulls included.
+    """
+    volume = F.when(F.col("volume_usd") > 0, F.col("volume_usd"))
+    counted = {c: n for c, n in _null_counts(tx).items() if c not in CELL}
+    return tx.groupBy(*CELL).agg(
+        F.count(F.lit(1)).alias("n"), F.count(volume).alias("volumes"),
+        F.min("trigger_at_dt").alias("first"), F.max("trigger_at_dt").alias("last"), *counted.values(),
+        *[F.sum(part).alias(f"volume_{k}") for k, part in enumerate(parts(*halves(volume)))],
+    )
+
+
 def profile_report(tx: DataFrame) -> DataFrame:
-    """The whole profile as ``(section, key, value)`` rows; times are epoch seconds."""
+    """The whole profile as ``(section, key, value)`` rows; times are epoch seconds.
+
+    Scans ``tx`` twice: for the cells that everything grouped adds up from, and for the
+    column of positive volumes, of which percentiles and histogram are taken.
+    """
 
     def lines(section: str, df: DataFrame, key: Column, value: Column) -> DataFrame:
         return df.select(
@@ -166,28 +193,38 @@ def profile_report(tx: DataFrame) -> DataFrame:
         ]
         return df.select(F.inline(F.array(*rows)))
 
-    # Everything without a distinct count comes from one pass.
-    counts = _null_counts(tx)
-    seconds = lambda extreme: F.unix_micros(extreme("trigger_at_dt")) / F.lit(1e6)
-    one_pass = tx.agg(
-        F.count(F.lit(1)).alias("n"), seconds(F.min).alias("first"), seconds(F.max).alias("last"),
-        *counts.values(),
+    cells = stage(profile_cells(tx), "profile-cells")
+    volumes = stage(_positive_volume(tx).select("volume_usd"), "profile-volumes")
+    known = list(_null_counts(tx))
+    n = F.sum("n")
+    missing = {c: F.sum(F.when(F.col(c).isNull(), F.col("n")).otherwise(0)) if c in CELL else F.sum(c) for c in known}
+    totals = cells.agg(
+        F.coalesce(n, F.lit(0)).alias("n"), F.unix_micros(F.min("first")).alias("first"),
+        F.unix_micros(F.max("last")).alias("last"), *[m.alias(c) for c, m in missing.items()],
+    )
+    everything = totals.select("n").scalar()
+    with_broker = completed_with_broker(cells)
+    named = with_broker.dropna(subset=list(BROKER)).groupBy(*BROKER)
+    per_broker = named.agg(joined([F.sum(f"volume_{k}") for k in range(5)]).alias("total_volume_usd"), F.sum("volumes").alias("rows"))
+    clients = named.agg(F.count_distinct("balance_owner_uuid").alias("n_clients"))
+    universe_ = with_broker.agg(
+        F.count_distinct("intermediary_uuid").alias("brokers"),
+        F.count_distinct("balance_owner_uuid").alias("clients"),
+        F.coalesce(n, F.lit(0)).alias("transactions"),
     )
+    status = cells.where(F.col("status").isNotNull()).groupBy("status").agg(n.alias("n"))
     broker = F.concat_ws(" ", *BROKER)
-    parts = [
-        spread_out(one_pass, [
+    return reduce(DataFrame.unionByName, [
+        spread_out(totals, [
             ("shape", "row_count", F.col("n")),
-            ("dates", "first_time", F.col("first")),
-            ("dates", "last_time", F.col("last")),
-            *[("nulls", c, _null_percent(c)) for c in counts],
+            ("dates", "first_time", F.col("first") / F.lit(1e6)),
+            ("dates", "last_time", F.col("last") / F.lit(1e6)),
+            *[("nulls", c, _null_percent(c)) for c in known],
         ]),
-        spread_out(universe(tx), [
-            ("universe", c, F.col(c)) for c in ("brokers", "clients", "transactions")
-        ]),
-        lines("volume", volume_percentiles(tx), F.concat(F.lit("p"), F.col("percent")), F.col("volume_usd")),
-        lines("top_volume", top_brokers(broker_volume(tx), "total_volume_usd"), broker, F.col("total_volume_usd")),
-        lines("top_clients", top_brokers(broker_clients(tx), "n_clients"), broker, F.col("n_clients")),
-        lines("status", status_distribution(tx), F.col("status"), F.col("percent")),
-        lines("histogram", volume_histogram(tx), F.col("bin").cast("string"), F.col("n")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        spread_out(universe_, [("universe", c, F.col(c)) for c in ("brokers", "clients", "transactions")]),
+        lines("volume", _percentiles(volumes), F.concat(F.lit("p"), F.col("percent")), F.col("volume_usd")),
+        lines("top_volume", top_brokers(per_broker.where(F.col("rows") > 0), "total_volume_usd"), broker, F.col("total_volume_usd")),
+        lines("top_clients", top_brokers(clients, "n_clients"), broker, F.col("n_clients")),
+        lines("status", status, F.col("status"), F.col("n") / everything * 100),
+        lines("histogram", _histogram(volumes), F.col("bin").cast("string"), F.col("n")),
+    ])

@@ -7,6 +7,7 @@ import pytest
 
 from bookpulse.operators import broker_reports as rep
 from bookpulse.operators import opportunities as opps
+from bookpulse.operators import profile
 from bookpulse.operators.client_features import _measures, build_features
 from bookpulse.operators.cleaning import reference_date
 from bookpulse.operators.labels import churn_labels
@@ -61,3 +62,13 @@ def test_top_k_is_limited_before_the_shuffle(b):
 def test_filters_reach_the_scan(b):
     text = plan(rep.monthly_volume(b.transactions))
     assert "EqualTo(status,COMPLETED)" in text and "GreaterThan(volume_usd,0.0)" in text
+
+
+def test_profile_scans_the_transactions_twice(b, monkeypatch):
+    written = []
+    keep = profile.stage
+    monkeypatch.setattr(profile, "stage", lambda df, name: written.append(plan(df)) or keep(df, name))
+    report = plan(profile.profile_report(b.transactions))
+    assert len(written) == 2 and all(text.count("Location: ") == text.count("/transactions]") == 1 for text in written)
+    assert "/transactions]" not in report
+    assert "NestedLoop" not in report and "Cartesian" not in report
