@@ -35,10 +35,15 @@ def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def unfitted_model(rounds: int = ROUNDS, seed: int = SEED) -> Pipeline:
-    """Unfitted model: feature vector, then boosted trees."""
+    """Unfitted model: feature vector, then boosted trees.
+
+    Residuals are checkpointed every 25 rounds, often enough to keep their lineage short.
+    Trees of depth 4 are passed down anew per row: node ids are not worth a cache.
+    """
     trees = GBTClassifier(
         featuresCol="inputs", labelCol="churned", maxIter=rounds, maxDepth=DEPTH, stepSize=RATE,
         subsamplingRate=ROW_SHARE, featureSubsetStrategy=str(COLUMN_SHARE), seed=seed,
+        checkpointInterval=25, cacheNodeIds=False,
     )
     return Pipeline(stages=[VectorAssembler(inputCols=list(MODEL_FEATURES), outputCol="inputs"), trees])
 
