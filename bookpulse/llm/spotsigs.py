@@ -4,8 +4,14 @@ Every common word (anchor) of a text gives a signature: the anchor and the next
 words. The set of signatures is the fingerprint of the text; two texts are compared by the
 Jaccard likeness of their sets, after set lengths have ruled out what they can.
 
-A text without any anchor counts each of its words as one; a text without any word has one
-signature of its own bytes; a null or empty text has none. Two empty sets are alike (1).
+A word counts as an anchor too, and gives a signature of itself and the next word, if the
+``STRETCH`` words before it are all content words or, for a common word, all common words;
+the beginning of a text counts as a stretch of content words. This looks at a few words
+only, so passages that texts share have the same signatures but for the first words, whether
+the rest has many anchors, few or none.
+
+A text of up to ``STRETCH`` common words only gives its word pairs; a text without any word has
+one signature of its own bytes; a null or empty text has none. Two empty sets are alike (1).
 
 Rows: repeated rows are documents of their own, ordered by their text; a null doc_id comes
 first; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -37,6 +43,9 @@ ANCHORS = frozenset(
     ).split()
 )
 CHAIN, DISTANCE = 2, 1
+#: Words of one kind after which further ones count as anchors. On texts of sf0.1 with less than 8 %
+#: anchors, likeness to the edited text is off from that of word pairs by at most 0.16 with 4, 0.38 with 12.
+STRETCH = 4
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
     for b in range(256)
@@ -52,6 +61,7 @@ def signatures(text: bytes, chain: int = CHAIN, distance: int = DISTANCE) -> fro
     """64-bit hashes of all spot signatures of a UTF-8 text, in runs of bounded size."""
     found: set[int] = set()
     digest, span = xxhash.xxh64_intdigest, (chain - 1) * distance + 1
+    since = STRETCH  # content words before the first of ``words``
     carried: list[bytes] = []
     for run in runs(text.translate(_FOLD)):
         words = carried + run.split()
@@ -59,7 +69,10 @@ def signatures(text: bytes, chain: int = CHAIN, distance: int = DISTANCE) -> fro
         enough = _enough(words, span)
         carried = words[enough:]
         found.update(_spots(words, enough, span, distance, digest))
+        found.update(_pairs(words, enough, since, chain, digest))
+        since = _since(words, enough, since)
     found.update(_spots(carried, len(carried), span, distance, digest))
+    found.update(_pairs(carried, len(carried), since, chain, digest))
     if not found:
         bare = text.translate(_FOLD).split()
         if bare:
@@ -70,7 +83,7 @@ def signatures(text: bytes, chain: int = CHAIN, distance: int = DISTANCE) -> fro
 
 
 def _enough(words: list[bytes], span: int) -> int:
-    """Words up to which every anchor has ``span`` content words after it."""
+    """Words up to which every anchor has ``span`` content words after it; a content word follows."""
     left = span
     for i in range(len(words) - 1, -1, -1):
         if left == 0:
@@ -88,6 +101,27 @@ def _spots(words: list[bytes], upto: int, span: int, distance: int, digest) -> I
             yield digest(words[i] + b":" + b":".join(chained))
 
 
+def _pairs(words: list[bytes], upto: int, since: int, chain: int, digest) -> Iterator[int]:
+    """Of words that count as anchors after a stretch; ``upto`` splits no stretch of common words."""
+    anchors = [i for i, w in enumerate(words[:upto]) if w in ANCHORS]
+    start = -since
+    for end in (*anchors, upto):
+        for i in range(max(start + STRETCH, 0), end):
+            yield digest(b" ".join(words[i:i + chain]))
+        start = end + 1
+    for first, i in zip(anchors, anchors[STRETCH:]):
+        if i - first == STRETCH:
+            yield digest(b" ".join(words[i:i + chain]))
+
+
+def _since(words: list[bytes], upto: int, since: int) -> int:
+    """Content words directly before ``words[upto]``, counted up to ``STRETCH``."""
+    for n in range(min(upto, STRETCH)):
+        if words[upto - 1 - n] in ANCHORS:
+            return n
+    return min(STRETCH, since + upto)
+
+
 def fingerprint_of(found: frozenset[int]) -> str:
     """Digest of a signature set: 32 hex digits, equal for equal sets; empty for an empty set."""
     if not found:

@@ -154,6 +154,35 @@ def test_signatures_do_not_depend_on_runs(monkeypatch):
             assert spotsigs.signatures(text) == whole
 
 
+def test_likeness_of_texts_with_few_anchors(spark):
+    def pairs(text):
+        w = text.encode().translate(spotsigs._FOLD).split()
+        return {tuple(w[i:i + 2]) for i in range(len(w))}
+
+    r = random.Random(6)
+    plain = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for n, at in enumerate(((), (0,), (90,), (10, 60), (0, 30, 60, 80))):  # where a text of 100 words has anchors
+        own = plain[:]
+        r.shuffle(own)
+        rows.append((2 * n, " ".join("the" if i in at else w for i, w in enumerate(own[:100]))))
+        rows.append((2 * n + 1, "the and of " + " ".join(w if i % 3 else "the" for i, w in enumerate(own[100:250]))))
+    rows.append((10, "to be or not to be that is the it was on of in " * 3))
+    rows.append((11, "cat " * 200))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {x.doc_id: x.near_edited for x in spotsigs.fingerprint_documents(df, parts=2).collect()}
+    assert near[10] > 0.4  # common words only, then "cat"
+    for doc in (0, 2, 4, 6, 8):
+        text, edited = rows[doc][1], spotsigs.edited_text(rows[doc][1], rows[doc + 1][1])
+        a, b = pairs(text), pairs(edited)
+        assert abs(near[doc] - len(a & b) / len(a | b)) < 0.16, doc
+    # An equal passage gives equal signatures, whatever stands before and after it.
+    passage = " ".join(plain[:60])
+    inner = spotsigs.signatures(" ".join(plain[spotsigs.STRETCH:60]).encode())
+    for text in (f"the {passage} the cat", f"{passage} of", f"dog {passage}"):
+        assert len(inner - spotsigs.signatures(text.encode())) <= 1
+
+
 @given(st.frozensets(st.integers(0, 40)), st.frozensets(st.integers(0, 40)), st.floats(0.05, 1))
 def test_pruned_jaccard(a, b, least):
     exact = len(a & b) / len(a | b) if a | b else 1.0
