@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from bookpulse.llm.common import free_name
 from bookpulse.session import stage
 
-RATIO, LEAST = 0.1, 10
+#: The ratio decides on hosts of any size; a line on one page only is not repeated.
+RATIO, LEAST = 0.1, 2
 
 
 def line_hashes(text: Column) -> Column:

@@ -267,6 +267,22 @@ def test_lines_of_random_pages(spark):
         assert sorted((tuple(x) for x in got.collect()), key=str) == brute_lines(rows, ratio, least)
 
 
+def test_footer_of_small_hosts(spark):
+    import corpus_pipeline
+
+    rows, want = [], {}
+    for pages in (1, 2, 3, 9, 50):
+        for i in range(pages):
+            lines = [f"text {i}", "footer", "five" if pages == 50 and i < 5 else "", "six" if pages == 50 and i < 6 else ""]
+            rows.append((100 * pages + i, "\n".join(lines), "en", f"host{pages}", 0))
+            # 5 of 50 pages are not more than a tenth, 6 are; a line of one page is not repeated.
+            kept = [x for x in lines if x != "six" and (x != "footer" or pages == 1)]
+            want[100 * pages + i] = "\n".join(kept)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, df, FOLDER).collect()} == want
+
+
 def test_line_edges(odd, nothing):
     got = line_dedup.dedup_lines(odd)
     assert sorted(got.columns) == sorted(odd.columns) and got.count() == len(ODD)
