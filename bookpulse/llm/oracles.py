@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bookpulse.llm import quality_rules
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -67,4 +69,45 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM page LEFT JOIN first USING (payload_digest)
 """
 
-ORACLES = {"op1_decontaminate": _OP1, "op7_line_dedup": _OP7, "op9_warc": _OP9}
+_OP12 = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')),
+      lambda x: x) AS lines
+  FROM documents
+), triple AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS words
+  FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM doc WHERE len(w) > 2)
+), often AS (SELECT r, words FROM triple GROUP BY r, words HAVING count(*) > 1
+), again AS (
+  SELECT r, count(DISTINCT place) AS n_repeat_words
+  FROM (SELECT r, unnest(generate_series(i, i + 2)) AS place FROM triple JOIN often USING (r, words)) GROUP BY r
+), stop AS (SELECT list(s) || list(upper(s[1]) || s[2:]) AS words FROM (SELECT unnest([{stop}]) AS s)
+), measured AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(w, lambda x: list_contains(words, x))) AS n_stop_words,
+    len(lines) AS n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines
+  FROM doc LEFT JOIN again USING (r), stop
+), verdict AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_filter([{rules}], lambda x: x IS NOT NULL) AS failed
+  FROM measured
+)
+SELECT * EXCLUDE failed, array_to_string(failed, ',') AS failed_rules, NOT base_failed AND len(failed) = 0 AS kept FROM verdict
+"""
+
+
+def _op12() -> str:
+    def sides(rule) -> str:
+        low = [] if rule.low is None else [f"1000 * {rule.part} < {rule.low} * {rule.whole}"]
+        high = [] if rule.high is None else [f"1000 * {rule.part} > {rule.high} * {rule.whole}"]
+        return f"CASE WHEN {' OR '.join(low + high)} THEN '{rule.name}' END"
+
+    words = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+    return _OP12.replace("{stop}", words).replace("{rules}", ", ".join(map(sides, quality_rules.RULES)))
+
+
+ORACLES = {"op1_decontaminate": _OP1, "op7_line_dedup": _OP7, "op9_warc": _OP9, "op12_quality_rules": _op12()}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from bookpulse.llm import (
-    chat, decontaminate, language_id, line_dedup, packing, simhash, spotsigs, token_files, tokens, url_filter, warc,
+    chat, decontaminate, language_id, line_dedup, packing, quality_rules, simhash, spotsigs, token_files, tokens, url_filter, warc,
 )
 from bookpulse.llm.oracles import ORACLES
 from bookpulse.session import stage, work_folder
@@ -82,6 +82,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_checksums(token_files.read_tokens(spark, folder))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +95,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_decontaminate, op2_url_filter, op3_spotsigs, op4_language_id, op5_packing, op6_chat_format,
-        op7_line_dedup, op8_simhash, op9_warc, op10_token_files, pipeline,
+        op7_line_dedup, op8_simhash, op9_warc, op10_token_files, op12_quality_rules, pipeline,
     )
 }
