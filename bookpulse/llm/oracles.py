@@ -35,15 +35,15 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 
 _OP7 = r"""
 WITH page AS (
-  SELECT DISTINCT source, text FROM documents WHERE source IS NOT NULL
-), total AS (SELECT source, count(*) AS pages FROM page GROUP BY source
+  SELECT source, text, count(*) AS copies FROM documents WHERE source IS NOT NULL GROUP BY source, text
+), total AS (SELECT source, sum(copies) AS pages FROM page GROUP BY source
 ), line AS (
-  SELECT source, text, unnest(list_distinct(list_transform(string_split(text, chr(10)),
+  SELECT source, copies, unnest(list_distinct(list_transform(string_split(text, chr(10)),
     lambda x: trim(x, ' ' || chr(9) || chr(13))))) AS line FROM page
 ), bad AS (
   SELECT source, list(line) AS lines FROM (
-    SELECT source, line, count(*) AS on_pages FROM line WHERE line <> '' GROUP BY source, line
-  ) JOIN total USING (source) WHERE on_pages >= 10 AND on_pages > pages * 0.1 GROUP BY source
+    SELECT source, line, sum(copies) AS on_pages, count(*) AS texts FROM line WHERE line <> '' GROUP BY source, line
+  ) JOIN total USING (source) WHERE texts >= 2 AND on_pages > pages * 0.1 GROUP BY source
 ), cut AS (
   SELECT doc_id, d.source, text, string_split(text, chr(10)) AS old,
     list_filter(string_split(text, chr(10)), lambda x:
@@ -69,6 +69,76 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM page LEFT JOIN first USING (payload_digest)
 """
 
+_OP11 = r"""
+WITH doc AS (
+  SELECT *, CASE WHEN {crc} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS other
+  FROM documents
+), hashed AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS key, {leaf} AS h,
+    CASE WHEN other IS NOT NULL THEN {other} END AS o
+  FROM doc
+), leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY key) AS n
+  FROM hashed
+), {docs}
+source AS (
+  SELECT '' AS key, key AS of, h, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM doc_top
+), {sources}
+doc_start AS (SELECT *, coalesce(o, h) AS f, '' AS siblings FROM leaf
+), {folds}
+source_start AS (
+  SELECT d.doc_id, d.h AS leaf, s.h AS subroot, '' AS key, s.i, d.f, d.siblings FROM doc_end d JOIN source s ON d.key = s.of
+), {source_folds}
+done AS (SELECT e.*, t.h AS root FROM source_end e, source_top t)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, f AS folded_root, f = root AS verified FROM done
+"""
+
+
+def _op11(levels: int = 7) -> str:
+    """Unrolled for up to 16 ** levels documents a source, and as many sources."""
+    def fields(text: str) -> str:
+        return "sha256({})".format(" || ".join(
+            f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+            for c in ("doc_id", "source", "lang", "n_chars", text)))
+
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), "
+        "lambda c: list_transform(range(8), lambda j: (ascii(c) >> j) & 1)))), "
+        "lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    )
+
+    def tree(name: str, base: str) -> str:
+        out = [f"{name}_0 AS (SELECT key, i, n, h FROM {base}"]
+        for k in range(levels):
+            used, run = f"n > {16 ** k}", "OVER (PARTITION BY key, i // 16 ORDER BY i ROWS BETWEEN"
+            out.append(
+                f"{name}_step_{k} AS (SELECT key, i, {used} AS used, "
+                f"CASE WHEN {used} THEN coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS before, "
+                f"CASE WHEN {used} THEN coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS after "
+                f"FROM {name}_{k}")
+            out.append(
+                f"{name}_{k + 1} AS (SELECT key, i // 16 AS i, n, CASE WHEN {used} THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h "
+                f"FROM {name}_{k} GROUP BY key, i // 16, n")
+        out.append(f"{name}_top AS (SELECT key, h FROM {name}_{levels}")
+        return "\n), ".join(out) + "\n),"
+
+    def folds(name: str, columns: str) -> str:
+        out, before = [], f"{name}_start"
+        for k in range(levels):
+            after = f"{name}_fold_{k}" if k + 1 < levels else f"{name}_end"
+            out.append(
+                f"{after} AS (SELECT {columns}, a.key, a.i, CASE WHEN used THEN sha256(before || f || after) ELSE f END AS f, "
+                f"siblings || before || after AS siblings FROM {before} a JOIN {name}_step_{k} s ON s.key = a.key AND s.i = a.i // {16 ** k}")
+            before = after
+        return "\n), ".join(out) + "\n),"
+
+    return (
+        _OP11.replace("{crc}", crc).replace("{leaf}", fields("text")).replace("{other}", fields("other"))
+        .replace("{docs}", tree("doc", "leaf")).replace("{sources}", tree("source", "source"))
+        .replace("{folds}", folds("doc", "doc_id, h")).replace("{source_folds}", folds("source", "doc_id, leaf, subroot"))
+    )
+
+
 _OP12 = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
@@ -99,6 +169,29 @@ WITH doc AS (
 SELECT * EXCLUDE failed, array_to_string(failed, ',') AS failed_rules, NOT base_failed AND len(failed) = 0 AS kept FROM verdict
 """
 
+_OP13 = rf"""
+WITH asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest({_WORDS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL))
+  GROUP BY item_id, term
+), doc AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents WHERE len({_WORDS}) > 0
+), corpus AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM doc
+), found AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM doc) WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+  FROM (SELECT term, count(*) AS df FROM found GROUP BY term), corpus
+), norm AS (SELECT r, doc_id, 100 - 25 + ((25 * len(w) * n_docs) // n_terms) AS m FROM doc, corpus
+), scored AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN found USING (term) JOIN weight USING (term) JOIN norm USING (r) GROUP BY item_id, r
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 
 def _op12() -> str:
     def sides(rule) -> str:
@@ -110,4 +203,5 @@ def _op12() -> str:
     return _OP12.replace("{stop}", words).replace("{rules}", ", ".join(map(sides, quality_rules.RULES)))
 
 
-ORACLES = {"op1_decontaminate": _OP1, "op7_line_dedup": _OP7, "op9_warc": _OP9, "op12_quality_rules": _op12()}
+ORACLES = {"op1_decontaminate": _OP1, "op7_line_dedup": _OP7, "op9_warc": _OP9, "op11_merkle": _op11(), "op12_quality_rules": _op12(),
+           "op13_ranked_search": _OP13}

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from bookpulse.llm import (
-    chat, decontaminate, language_id, line_dedup, packing, quality_rules, simhash, spotsigs, token_files, tokens, url_filter, warc,
+    chat, decontaminate, language_id, line_dedup, merkle, packing, quality_rules, ranked_search,
+    simhash, spotsigs, token_files, tokens, url_filter, warc,
 )
 from bookpulse.llm.oracles import ORACLES
 from bookpulse.session import stage, work_folder
@@ -60,8 +61,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the 10 pages of its SQL twin; the operator's own default is 2."""
-    docs = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"), least=10)
+    docs = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
     return docs.select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
@@ -82,10 +82,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_checksums(token_files.read_tokens(spark, folder))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With A-Z in lower case as tampering, where 5 divides the CRC-32 of the doc_id."""
+    return merkle.manifest(_read(spark, sf_dir, "documents"), merkle.lower_cased())
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_decontaminate, op2_url_filter, op3_spotsigs, op4_language_id, op5_packing, op6_chat_format,
-        op7_line_dedup, op8_simhash, op9_warc, op10_token_files, op12_quality_rules, pipeline,
+        op7_line_dedup, op8_simhash, op9_warc, op10_token_files, op11_merkle, op12_quality_rules, op13_ranked_search,
+        pipeline,
     )
 }

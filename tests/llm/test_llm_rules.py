@@ -50,17 +50,17 @@ def test_counts_of_random_texts(spark):
     rows = [(i, "".join(r.choice(bits) + r.choice(["", " ", " ", "\n"]) for _ in range(r.randrange(90)))) for i in range(300)]
     rows += [
         (None, None), (1, None), (2, ""), (3, " \n\t "), (4, "one two three"), (4, "one two three"),
-        (5, "a a a a"), (6, "a a a"), (7, "x z q " * 5000), (8, "the cat and dog " * 13), (9, "#" * 60), (10, "a b x a b c a b"),
+        (5, "a a a a"), (6, "a a a"), (1007, "x z q " * 5000), (8, "the cat and dog " * 13), (9, "#" * 60), (10, "a b x a b c a b"),
     ]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"'old' AS {n}" for n in ("words", "bare", "lines", "n_words", "kept")])
     want = []
     for doc, text in rows:
-        counts = brute(doc, text) if doc != 7 else (7, 15000, 15000, 0, 0, 15000, 0, 1, 0, 0)
+        counts = brute(doc, text) if doc != 1007 else (1007, 15000, 15000, 0, 0, 15000, 0, 1, 0, 0)
         want.append((*counts, *brute_verdict(counts)))
     assert judged(df) == sorted(want, key=str)
     assert judged(df.limit(0)) == []
     con = duckdb.connect()
-    documents = df.select("doc_id", "text").toPandas()  # noqa: F841
+    documents = df.select("doc_id", "text").toArrow()  # noqa: F841
     cursor = con.execute(ORACLES["op12_quality_rules"])
     got = quality_rules.judge(df)
     assert difference((got.columns, [tuple(x) for x in got.collect()]), ([d[0] for d in cursor.description], cursor.fetchall())) is None
