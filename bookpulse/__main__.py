@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="bookpulse", description=__doc__)
     parser.add_argument("step", choices=STEPS)
     parser.add_argument("--folder", required=True, help="where the tables of the book are kept")
-    parser.add_argument("--input", help="raw transactions; given, the whole book is built anew")
+    parser.add_argument("--input", help="raw transactions; what follows from changed ones is built anew")
     parser.add_argument("--format", default="parquet", help="format of the raw transactions")
     parser.add_argument("--company", default=messages.COMPANY, help="name used in messages")
     parser.add_argument("--rounds", type=int, default=churn_model.ROUNDS, help="boosting rounds")
@@ -64,8 +64,7 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = prepare(SparkSession.builder.appName("bookpulse").getOrCreate())
     raw = tables.read_transactions(spark, args.input, args.format) if args.input else None
-    book = ClientBook(spark, args.folder, raw, rounds=args.rounds, company=args.company,
-                      replace=raw is not None)
+    book = ClientBook(spark, args.folder, raw, rounds=args.rounds, company=args.company)
     STEPS[args.step](book, args).show(20, truncate=False)
     drop_stages(spark)
 

@@ -1,24 +1,23 @@
-"""Churn model: boosted trees of Spark ML over client features."""
+"""Churn model: boosted trees over client features."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookpulse import schemas
 from bookpulse.fixed_values import CHURN_WINDOW_DAYS, MODEL_FEATURES
 from bookpulse.functions.text import plain
+from bookpulse.operators import boosting, metrics
 from bookpulse.operators import labels as churn
-from bookpulse.operators import metrics
-from bookpulse.session import keep_checkpoints, stage
+from bookpulse.operators.boosting import BoostedTrees
+from bookpulse.session import stage
 
 LEARNER = "gradient-boosted trees"
 ROUNDS, DEPTH, RATE, ROW_SHARE, COLUMN_SHARE, SEED = 300, 4, 0.05, 0.8, 0.8, 42
@@ -35,7 +34,7 @@ def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def unfitted_model(rounds: int = ROUNDS, seed: int = SEED) -> Pipeline:
-    """Unfitted model: feature vector, then boosted trees.
+    """Spark ML's trees over the same inputs, for comparison: feature vector, then boosted trees.
 
     Residuals are checkpointed every 25 rounds, often enough to keep their lineage short.
     Trees of depth 4 are passed down anew per row: node ids are not worth a cache.
@@ -48,17 +47,23 @@ def unfitted_model(rounds: int = ROUNDS, seed: int = SEED) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(MODEL_FEATURES), outputCol="inputs"), trees])
 
 
-def fit(training: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> PipelineModel:
-    """Fit on all labelled clients. Pass a written table: sampling follows its partitions."""
-    keep_checkpoints(training.sparkSession)
-    return unfitted_model(rounds, seed).fit(training)
+def fit_all(
+    training: DataFrame, rounds: int = ROUNDS, seed: int = SEED, left_out: Sequence[int] = (-1,)
+) -> list[BoostedTrees]:
+    """A model per entry of ``left_out``, fitted to the clients of all other folds (-1: to all)."""
+    return boosting.fit(
+        training, MODEL_FEATURES, "churned", "client_id", rounds, DEPTH, RATE, ROW_SHARE, COLUMN_SHARE, seed,
+        "fold" if any(k >= 0 for k in left_out) else None, left_out,
+    )
 
 
-def _with_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
-    scored = model.transform(df).withColumn(
-        "churn_probability", F.get(vector_to_array("probability"), F.lit(1))
-    )
-    return scored.drop("inputs", "rawPrediction", "probability", "prediction")
+def fit(training: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> BoostedTrees:
+    """Fit on all labelled clients. Pass a written table: it is read several times."""
+    return fit_all(training, rounds, seed)[0]
+
+
+def _with_probability(model: BoostedTrees, df: DataFrame) -> DataFrame:
+    return boosting.with_probability(model, df, "churn_probability")
 
 
 def cross_validated(
@@ -66,29 +71,22 @@ def cross_validated(
 ) -> DataFrame:
     """Out-of-fold probabilities: every labelled client scored by a model that never saw it.
 
-    The folds are fitted at the same time: boosting runs many short jobs, which one fit
-    alone cannot fill a cluster with.
+    The folds are fitted in the same jobs.
     """
     folded = stage(metrics.stratified_folds(training, folds, seed), "folds")
-
-    def scored_by_others(k: int) -> DataFrame:
-        model = fit(folded.where(F.col("fold") != k), rounds, seed)
-        return _with_probability(model, folded.where(F.col("fold") == k))
-
-    with ThreadPool(folds) as pool:
-        held_out = pool.map(inheritable_thread_target(training.sparkSession)(scored_by_others), range(folds))
+    models = fit_all(folded, rounds, seed, range(folds))
+    held_out = [_with_probability(m, folded.where(F.col("fold") == k)) for k, m in enumerate(models)]
     return reduce(DataFrame.unionByName, held_out).select(
         "client_id", "churned", "fold", "churn_probability"
     )
 
 
-def importances(model: PipelineModel) -> DataFrame:
-    """Feature importances, highest first. One row per model input, ten in all."""
-    names, weights = model.stages[0].getInputCols(), model.stages[-1].featureImportances
+def importances(model: BoostedTrees) -> DataFrame:
+    """Mean gain of each input's splits as a share, highest first. One row per model input, ten in all."""
     return (
         SparkSession.active()
         .createDataFrame(
-            [(name, float(weights[i])) for i, name in enumerate(names)],
+            [(name, float(weight)) for name, weight in zip(model.inputs, model.importances())],
             "feature string, importance double",
         )
         .orderBy(F.desc("importance"), "feature")
@@ -103,7 +101,7 @@ def with_risk(scored: DataFrame) -> DataFrame:
     ).select(schemas.CHURN_SCORES.names)
 
 
-def score_clients(model: PipelineModel, features: DataFrame) -> DataFrame:
+def score_clients(model: BoostedTrees, features: DataFrame) -> DataFrame:
     """Churn score of every client, labelled or not."""
     return with_risk(_with_probability(model, fill_features(features)))
 
@@ -114,7 +112,7 @@ def top_risk(scores: DataFrame, rows: int = 10) -> DataFrame:
 
 
 def churn_report(
-    features: DataFrame, labels: DataFrame, validated: DataFrame, model: PipelineModel | None, scores: DataFrame,
+    features: DataFrame, labels: DataFrame, validated: DataFrame, model: BoostedTrees | None, scores: DataFrame,
     reference: Column | None = None, window_days: int = CHURN_WINDOW_DAYS,
 ) -> DataFrame:
     """Model report as ``(section, key, value)`` rows.
@@ -145,7 +143,7 @@ def churn_report(
             F.col("clients").cast("double").alias("value"),
         ),
     ]
-    head = [(f"learner: {LEARNER}", F.lit(float(model.stages[-1].getNumTrees)))] if model is not None else []
+    head = [(f"learner: {LEARNER}", F.lit(float(len(model.trees))))] if model is not None else []
     if reference is not None:
         head.append(("reference_date", F.unix_micros(reference) / F.lit(1e6)))
     head.append(("window_days", F.lit(float(window_days))))

@@ -7,36 +7,17 @@ from pyspark.sql import functions as F
 
 from bookpulse.fixed_values import COMPLETED, MONEY_SCALE
 from bookpulse.functions.numbers import finite, read_number
-
-
-# Forms of a time that are read besides ISO dates and times; each needs a full date.
-_TIME_FORMS = (
-    (r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$", "yyyy/MM/dd HH:mm:ss"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}$", "MM/dd/yyyy HH:mm"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
-    (r"^\d{2}-[A-Z][a-z]{2}-\d{4} \d{2}:\d{2}$", "dd-MMM-yyyy HH:mm"),
-    (r"^[A-Z][a-z]{2} \d{2} \d{4}$", "MMM dd yyyy"),
-    (r"^\d{8} \d{6}$", "yyyyMMdd HHmmss"),
-)
-
-
-def read_time(text: Column) -> Column:
-    """Text to a time; NULL without a full date, so that nothing depends on the day of the run."""
-    bare = F.trim(text)
-    iso = F.when(bare.rlike(r"^\d{4,}-\d{1,2}-\d{1,2}"), bare.try_cast("timestamp"))
-    others = [F.when(bare.rlike(shape), F.try_to_timestamp(bare, F.lit(form))) for shape, form in _TIME_FORMS]
-    return F.coalesce(iso, *[o.cast("timestamp") for o in others])
+from bookpulse.functions.times import read_time
 
 
 def _blank_to_null(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(""))
 
 
-def clean(raw: DataFrame) -> DataFrame:
+def clean(raw: DataFrame, day_first: bool = False) -> DataFrame:
     """Add the derived columns; no row is dropped.
 
-    Times without a zone are read in the session zone, which ``prepare`` sets to UTC.
+    ``day_first`` reads 04/07/2025 as the fourth of July, see ``reads_day_first``. Times without a zone are read in the session zone, which ``prepare`` sets to UTC.
     """
     paid = read_number(F.col("balance_paid"))
     return raw.withColumns(
@@ -44,7 +25,7 @@ def clean(raw: DataFrame) -> DataFrame:
             "bp_num": paid,
             "volume_usd": finite(paid * F.col("er_paid_to_usd") / F.lit(MONEY_SCALE)),
             "spread_bps": finite(F.col("profit_spread_bps") / F.lit(MONEY_SCALE)),
-            "trigger_at_dt": read_time(F.col("trigger_at")),
+            "trigger_at_dt": read_time(F.col("trigger_at"), day_first),
             "broker_id_clean": _blank_to_null("intermediary_uuid"),
             "broker_name_clean": _blank_to_null("intermediary_name"),
             "client_name_clean": _blank_to_null("balance_owner_name"),

@@ -13,6 +13,8 @@ from bookpulse.operators.cleaning import reference_date
 _HOURS, _DAYS = range(24), range(7)
 _WEEKS = range(TREND_WEEKS + 1)          # a row at the reference date itself falls in the last
 _DAY_MICROS = 86_400_000_000
+#: Cleaned columns that name a client or its broker.
+NAMES = ("broker_id", "broker_name", "client_name")
 _UNDATED = 2**63 - 1                     # sorts after every time
 
 
@@ -104,16 +106,19 @@ def _names(tx: DataFrame) -> DataFrame:
         tx.where(F.col("balance_owner_uuid").isNotNull())
         .groupBy(
             F.col("balance_owner_uuid").alias("client_id"),
-            F.col("broker_id_clean").alias("broker_id"),
-            F.col("broker_name_clean").alias("broker_name"),
-            F.col("client_name_clean").alias("client_name"),
+            *[F.col(f"{c}_clean").alias(c) for c in NAMES],
         )
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.coalesce(F.min(F.unix_micros("trigger_at_dt")), F.lit(_UNDATED)).alias("first"),
         )
     )
-    per_broker = combinations.groupBy("client_id", "broker_id").agg(
+    return main_names(combinations)
+
+
+def main_names(combinations: DataFrame, *keys: str) -> DataFrame:
+    """Main broker with its name, and client name, per client (and keys), of counted combinations."""
+    per_broker = combinations.groupBy("client_id", *keys, "broker_id").agg(
         F.sum("rows").alias("rows"),
         F.min(F.when(F.col("client_name").isNotNull(), F.col("first"))).alias("first"),
         _first_in_time("client_name"),
@@ -123,7 +128,7 @@ def _names(tx: DataFrame) -> DataFrame:
         (-F.col("rows")).alias("rows"), "broker_id",
         F.coalesce("broker_name", "broker_id").alias("broker_name"),
     )
-    return per_broker.groupBy("client_id").agg(
+    return per_broker.groupBy("client_id", *keys).agg(
         F.min(F.when(F.col("broker_id").isNotNull(), most_rows)).alias("main"),
         _first_in_time("client_name"),
     )
@@ -161,7 +166,7 @@ def build_features(tx: DataFrame, as_of: Column | None = None) -> DataFrame:
     """
     as_of = reference_date(tx) if as_of is None else as_of
     per_client = _measures(tx, as_of).join(_names(tx), "client_id")
-    return _feature_columns(per_client, as_of)
+    return feature_columns(per_client, as_of)
 
 
 def weekly_volume(tx: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -182,7 +187,8 @@ def build_features_before(tx: DataFrame, cutoff: Column) -> DataFrame:
     return build_features(tx.where(F.col("trigger_at_dt") < cutoff), cutoff)
 
 
-def _feature_columns(per_client: DataFrame, as_of: Column) -> DataFrame:
+def feature_columns(per_client: DataFrame, as_of: Column, *keys: str) -> DataFrame:
+    """The feature table from measures and names per client; ``keys`` stay in front."""
     none_valid = F.col("valid") == 0
     spread = F.when(none_valid, 0.0).otherwise(ratio(F.col("spread"), F.col("spreads")))
     minimum = F.when(none_valid, 0.0).otherwise(ratio(F.col("minimum"), F.col("minimums")))
@@ -207,7 +213,7 @@ def _feature_columns(per_client: DataFrame, as_of: Column) -> DataFrame:
         "broker_name": F.coalesce("main.broker_name", F.lit(DIRECT_BROKER)),
     }
     return per_client.select(
-        *[columns[f.name].cast(f.dataType).alias(f.name) for f in schemas.FEATURES]
+        *keys, *[columns[f.name].cast(f.dataType).alias(f.name) for f in schemas.FEATURES]
     )
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+from datetime import date
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.operators import broker_reports, churn_model, labels, messages, opportunities, rfm
+from bookpulse import schemas
+from bookpulse.operators import broker_reports, churn_model, daily_state, labels, messages, opportunities, rfm
+from bookpulse.operators.boosting import BoostedTrees
 from bookpulse.operators.cleaning import clean
 from bookpulse.operators.client_features import build_features
 from bookpulse.session import prepare, stage
-from bookpulse.sources import tables
+from bookpulse.sources import lineage, tables
 
 
 # What later steps read; the other raw columns are not written again.
@@ -24,11 +27,23 @@ TRANSACTION_COLUMNS = (
 )
 
 
-# Tables that follow from the transactions; the messages of former runs are kept.
-DERIVED = (
-    "transactions", "reference_date", "features", "opportunities", "churn_labels", "churn_training",
-    "churn_validated", "churn_model", "churn_scores", "churn_report",
-)
+# What each table is built from; the messages of former runs are kept.
+BUILT_FROM = {
+    "transactions": ("raw",),
+    "reference_date": ("transactions",),
+    "features": ("transactions", "reference_date"),
+    "opportunities": ("features",),
+    "daily_state": ("transactions",),
+    "daily_names": ("transactions",),
+    "churn_labels": ("transactions", "reference_date"),
+    "churn_training": ("features", "churn_labels"),
+    "churn_validated": ("churn_training",),
+    "churn_model": ("churn_training",),
+    "churn_scores": ("churn_model", "features"),
+    "churn_report": (
+        "features", "churn_labels", "churn_validated", "churn_model", "churn_scores", "reference_date",
+    ),
+}
 
 
 def scored_features(tx: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -44,8 +59,11 @@ def scored_features(tx: DataFrame, as_of: Column | None = None) -> DataFrame:
 class ClientBook:
     """Tables of one book under ``folder``; each is built when first asked for.
 
-    With ``replace`` all tables stored there that follow from the transactions are removed
-    first, so that new input, rounds or settings never meet results of old ones.
+    A stored table is read if it was built from the same raw rows with the same settings,
+    and built anew otherwise, with all that follows from it. Raw rows are compared by an
+    order-free digest: one scan per ``ClientBook``, or none where the transactions are built
+    in any case. Without ``raw`` the stored transactions stand for it. ``replace`` removes
+    all derived tables first.
     """
 
     spark: SparkSession
@@ -54,25 +72,62 @@ class ClientBook:
     rounds: int = churn_model.ROUNDS
     company: str = messages.COMPANY
     extra_columns: tuple[str, ...] = ()
+    day_first: bool = False
     replace: bool = False
+    _recipes: dict[str, str] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         prepare(self.spark)
         if self.replace:
             self._raw()
-            for name in DERIVED:
+            for name in BUILT_FROM:
                 tables.remove(self.spark, f"{self.folder}/{name}")
 
+    def _settings(self, name: str) -> dict[str, object]:
+        """What shapes a table besides its inputs."""
+        if name == "transactions":
+            return {"columns": [*self.extra_columns, *TRANSACTION_COLUMNS], "day_first": self.day_first}
+        if name in ("churn_validated", "churn_model"):
+            return {"rounds": self.rounds}
+        return {}
+
+    def _recipe(self, name: str) -> str:
+        if name == "transactions":
+            _ = self.transactions  # compared with the raw rows, or built, at the first call
+        elif name not in self._recipes:
+            inputs = {x: lineage.short(self._recipe(x)) for x in BUILT_FROM[name]}
+            self._recipes[name] = lineage.recipe(name, inputs, self._settings(name))
+        return self._recipes[name]
+
     def _table(self, name: str, builder) -> DataFrame:
-        return tables.get_or_build(self.spark, f"{self.folder}/{name}", builder)
+        return tables.get_or_build(self.spark, f"{self.folder}/{name}", builder, self._recipe(name))
 
     @property
     def transactions(self) -> DataFrame:
         """Cleaned transactions: the one table every later step reads."""
-        return self._table(
-            "transactions",
-            lambda: clean(self._raw()).select(*self.extra_columns, *TRANSACTION_COLUMNS),
-        )
+        path = f"{self.folder}/transactions"
+        if "transactions" not in self._recipes:
+            self._recipes["transactions"] = self._current_transactions(path)
+        return self.spark.read.parquet(path)
+
+    def _current_transactions(self, path: str) -> str:
+        """The recipe of the stored transactions, after they have been built anew if need be."""
+        stored = lineage.stored_recipe(self.spark, path) if tables.exists(self.spark, path) else None
+        if self.raw is None:
+            if not tables.exists(self.spark, path):
+                self._raw()
+            return stored or lineage.recipe("transactions", {"raw": "not known"})
+        read = [*(f.name for f in schemas.RAW_TRANSACTIONS), *self.extra_columns]
+
+        def recipe(digest: str) -> str:
+            return lineage.recipe("transactions", {"raw": digest}, self._settings("transactions"))
+
+        if stored is not None and stored == (now := recipe(lineage.table_digest(self.raw, read))):
+            return now
+        raw, digest = lineage.observed(self.raw.select(*read), read)
+        tables.write_table(clean(raw, self.day_first).select(*self.extra_columns, *TRANSACTION_COLUMNS), path)
+        lineage.store_recipe(self.spark, path, now := recipe(digest()))
+        return now
 
     @property
     def reference_date(self) -> Column:
@@ -86,6 +141,12 @@ class ClientBook:
     def features(self) -> DataFrame:
         return self._table("features", lambda: scored_features(self.transactions, self.reference_date))
 
+    def features_at(self, cutoffs: Sequence[date]) -> DataFrame:
+        """Features known at the beginning of each of these days, from the stored daily state."""
+        state = self._table("daily_state", lambda: daily_state.daily_state(self.transactions))
+        names = self._table("daily_names", lambda: daily_state.daily_names(self.transactions))
+        return daily_state.features_at(state, names, cutoffs)
+
     @property
     def opportunities(self) -> DataFrame:
         """Opportunities in listing order (a range sort: large brokers span several files)."""
@@ -111,10 +172,11 @@ class ClientBook:
         )
 
     @property
-    def model(self) -> PipelineModel:
-        path = f"{self.folder}/churn_model"
-        if not tables.exists(self.spark, f"{path}/metadata"):
+    def model(self) -> BoostedTrees:
+        path, recipe = f"{self.folder}/churn_model", self._recipe("churn_model")
+        if not tables.is_current(self.spark, path, recipe, "/metadata"):
             tables.save_model(churn_model.fit(self.training, self.rounds), path)
+            lineage.store_recipe(self.spark, path, recipe)
         return tables.load_model(path)[0]
 
     @property

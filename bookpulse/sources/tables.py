@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, NumericType, StructType
 
 from bookpulse import schemas
 from bookpulse.functions.numbers import finite, read_number
+from bookpulse.operators import boosting
+from bookpulse.operators.boosting import BoostedTrees
+from bookpulse.sources import csv_records, lineage, message_store
 
 TABLES = {
     "features": schemas.SCORED_FEATURES,
@@ -26,13 +28,16 @@ def read_transactions(
 ) -> DataFrame:
     """Raw transactions; the ten known columns get their raw types, others stay as read.
 
-    CSV is read without a type scan: every column arrives as text and is cast here. Line
-    breaks inside quotes belong to their field; where there are none, ``multi_line=False``
-    lets Spark split large files.
+    CSV is read without a type scan: every column arrives as text and is cast here. Large
+    files are read by many tasks; line breaks inside quotes belong to their field, and a
+    quote that is never closed is an error. ``multi_line=False`` saves the pass over the
+    quotes where every record is known to be one line.
     """
+    if fmt == "csv" and multi_line:
+        return type_raw(csv_records.read_csv(spark, path))
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.options(header=True, quote='"', escape='"', multiLine=multi_line)
+        reader = reader.options(header=True, quote='"', escape='"')
     return type_raw(reader.load(path))
 
 
@@ -79,20 +84,31 @@ def read_scores_or_empty(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_messages_or_empty(spark: SparkSession, path: str) -> DataFrame:
-    """Stored messages, or an empty typed table.
+    """Stored messages, or an empty typed table."""
+    return message_store.read(spark, path)
 
-    Replacing single partitions writes no marker, so here the folder itself counts.
-    """
-    return _read_or_empty(spark, path, schemas.MESSAGES, _on_storage(spark, path))
 
+def get_or_build(
+    spark: SparkSession, path: str, builder: Callable[[], DataFrame], recipe: str | None = None
+) -> DataFrame:
+    """Read the table at ``path``; build and write it first when it is missing.
 
-def get_or_build(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
-    """Read the table at ``path``; build and write it first when it is missing."""
-    if not exists(spark, path):
+    With a ``recipe`` also when the stored table was built from something else.
+    """
+    if not is_current(spark, path, recipe):
         write_table(builder(), path)
+        if recipe is not None:
+            lineage.store_recipe(spark, path, recipe)
     return spark.read.parquet(path)
 
 
+def is_current(spark: SparkSession, path: str, recipe: str | None, marker: str = "") -> bool:
+    """Is there a finished table at ``path``, built by this recipe? ``marker`` is a folder whose end shows the table's."""
+    if not exists(spark, f"{path}{marker}"):
+        return False
+    return recipe is None or lineage.stored_recipe(spark, path) == recipe
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Replace the table at ``path``."""
     df.write.mode("overwrite").parquet(path)
@@ -101,18 +117,10 @@ def write_table(df: DataFrame, path: str) -> None:
 def upsert_messages(messages: DataFrame, path: str) -> None:
     """Replace the stored messages of every broker that occurs in ``messages``.
 
-    Brokers that do not occur keep their rows, so an empty run changes nothing. The
-    rebalance brings each broker's rows to few files and lets AQE split a broker that
-    is too large for one task.
+    Brokers that do not occur keep their rows, so an empty run changes nothing; readers see
+    all of a run or nothing of it.
     """
-    (
-        messages.select(schemas.MESSAGES.names)
-        .hint("rebalance", "broker_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("broker_id")
-        .parquet(path)
-    )
+    message_store.upsert(messages, path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
@@ -120,15 +128,15 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Replace the model at ``path``; the feature list is part of its first stage."""
-    model.write().overwrite().save(path)
+def save_model(model: BoostedTrees, path: str) -> None:
+    """Replace the model at ``path``; the feature list is part of its head."""
+    boosting.save(model, path)
 
 
-def load_model(path: str) -> tuple[PipelineModel, list[str]]:
+def load_model(path: str) -> tuple[BoostedTrees, list[str]]:
     """The fitted model and the names of its input columns."""
-    model = PipelineModel.load(path)
-    return model, list(model.stages[0].getInputCols())
+    model = boosting.load(path)
+    return model, list(model.inputs)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -18,6 +18,7 @@ LAG_DAYS = (0, 0, 0, 0, 20, 70, 120, 250)
 ROUNDS = int(os.environ.get("BOOK_ROUNDS", churn_model.ROUNDS))
 
 _BOOKS: dict[tuple[str, str], ClientBook] = {}
+_FOLDERS: dict[int, str] = {}
 
 
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,15 +66,45 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def book(spark: SparkSession, sf_dir: str) -> ClientBook:
+def mixed_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same transactions with times in twelve forms, and rates that change or are missing."""
+    key, at = F.col("tx_id"), F.to_timestamp("trigger_at", "yyyy-MM-dd HH:mm:ssX")
+    form = key % 12
+    written = F.when(form == 9, F.when(F.dayofmonth(at) > 12, F.date_format(at, "dd.MM.yyyy HH:mm")).otherwise(
+        F.date_format(at, "yyyy-MM-dd HH:mm")))
+    for k, pattern in MIXED_FORMS.items():
+        shown = at + F.expr("INTERVAL 2 HOURS") if k == 10 else at
+        written = written.when(form == k, F.date_format(shown, pattern))
+    rate = F.when(key % 89 != 0, F.element_at(F.array(*[F.lit(r) for r in MIXED_RATES]), (key % 4 + 1).cast("int")) * F.lit(1e8))
+    return raw_transactions(spark, sf_dir).withColumns({
+        "trigger_at": F.when(F.col("trigger_at") == "", "soon").otherwise(written), "er_paid_to_usd": rate,
+    })
+
+
+#: Forms of the mixed book by ``tx_id % 12``; 9 is day-first where that is certain, 10 is two hours ahead of UTC.
+MIXED_FORMS = {
+    0: "yyyy-MM-dd HH:mm:ss'+00'", 1: "MM/dd/yyyy HH:mm:ss", 2: "yyyy/MM/dd HH:mm", 3: "dd-MMM-yyyy HH:mm:ss",
+    4: "MMM dd yyyy HH:mm", 5: "M/d/yyyy", 6: "yyyyMMdd", 7: "MMMM d, yyyy h:mm a", 8: "yyyy/MM/dd HH:mm:ss.SSS '+00'",
+    10: "yyyy-MM-dd'T'HH:mm:ss'+02:00'", 11: "yyyyMMdd HHmmss",
+}
+MIXED_RATES = (1.0, 2.0, 3.0, 7.0)
+
+
+def book(spark: SparkSession, sf_dir: str, rows=raw_transactions) -> ClientBook:
     """The book of one test folder; its tables are written once per application."""
     prepare(spark)
-    app = spark.sparkContext.applicationId
-    if (app, sf_dir) not in _BOOKS:
-        folder = f"{work_folder(spark)}/books/{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
-        raw = type_raw(raw_transactions(spark, sf_dir))
-        _BOOKS[app, sf_dir] = ClientBook(spark, folder, raw, rounds=ROUNDS, extra_columns=("tx_id",))
-    return _BOOKS[app, sf_dir]
+    app, name = spark.sparkContext.applicationId, f"{rows.__name__} {sf_dir}"
+    if (app, name) not in _BOOKS:
+        folder = f"{work_folder(spark)}/books/{hashlib.sha1(name.encode()).hexdigest()[:12]}"
+        raw = type_raw(rows(spark, sf_dir))
+        _BOOKS[app, name] = ClientBook(spark, folder, raw, rounds=ROUNDS, extra_columns=("tx_id",))
+        _FOLDERS[id(_BOOKS[app, name])] = sf_dir
+    return _BOOKS[app, name]
+
+
+def mixed_book(other: ClientBook) -> ClientBook:
+    """The book of the mixed transactions beside another book of the same test folder."""
+    return book(other.spark, _FOLDERS[id(other)], mixed_transactions)
 
 
 def fixed_scores(features: DataFrame) -> DataFrame:

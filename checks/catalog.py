@@ -7,6 +7,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
+from functools import reduce
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -16,15 +18,16 @@ from pyspark.sql import functions as F
 from bookpulse import fixed_values as fv
 from bookpulse.functions.text import day_name, signed_word
 from bookpulse.operators import broker_reports as rep
-from bookpulse.operators import churn_model, cleaning, metrics, profile, rfm
+from bookpulse.operators import boosting, churn_model, cleaning, metrics, profile, rfm
 from bookpulse.operators import client_features as cf
 from bookpulse.operators import labels as churn
 from bookpulse.operators import messages as msg
 from bookpulse.operators import opportunities as opps
 from bookpulse.plans.client_book import ClientBook
+from bookpulse.session import stage
 from bookpulse.sources import tables
 from checks import oracle as o
-from checks.book import ROUNDS, fixed_scores, outside_texts
+from checks.book import ROUNDS, fixed_scores, mixed_book, outside_texts
 
 Query = Callable[[ClientBook], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,6 +108,16 @@ def built_features(b: ClientBook) -> DataFrame:
     return tables.get_or_build(b.spark, path, lambda: b.features).select(names(o.SCORED_COLUMNS))
 
 
+def rebuilt(b: ClientBook) -> DataFrame:
+    """Features of half the raw rows, of all, and of all again, asked for in one folder."""
+    found = []
+    for step, raw in (("half", b.raw.where("tx_id % 2 = 0")), ("all", b.raw), ("again", b.raw.repartition(3))):
+        own = ClientBook(b.spark, f"{b.folder}/written/rebuilt", raw, extra_columns=("tx_id",))
+        found.append(stage(own.features.agg(
+            F.lit(step).alias("step"), F.count("*").alias("clients"), F.sum("tx_count_total").alias("dated")), step))
+    return reduce(DataFrame.unionByName, found)
+
+
 def upserted(b: ClientBook) -> DataFrame:
     """All brokers, then one broker again with another signature, then an empty run."""
     path = f"{b.folder}/written/messages_upsert"
@@ -140,6 +153,10 @@ add("A4_read_scores", read_scores,
     "SELECT client_id, churn_probability, churn_score, risk_label FROM scores")
 add("A5_read_messages", lambda b: b.write_messages(), f"SELECT {MESSAGE_ROW} FROM msg")
 add("A6_get_or_build", built_features, f"SELECT {o.SCORED_COLUMNS} FROM feat")
+add("A6_rebuilt_for_new_input", rebuilt, " UNION ALL ".join(
+    f"SELECT '{step}' AS step, count(DISTINCT client_id) AS clients, CAST(count(*) AS BIGINT) AS dated FROM tx "
+    f"WHERE client_id IS NOT NULL AND ts IS NOT NULL AND {rows}"
+    for step, rows in (("half", "tx_id % 2 = 0"), ("all", "true"), ("again", "true"))))
 add("A7_write_features", lambda b: round_trip(b, "features", b.features), f"SELECT {o.SCORED_COLUMNS} FROM feat")
 add("A8_write_opportunities", lambda b: round_trip(b, "opportunities", b.opportunities),
     f"SELECT {o.OPP_COLUMNS} FROM opp")
@@ -156,6 +173,11 @@ add("A12_upsert_messages", upserted, UPSERTED)
 add("B1_volume", lambda b: b.transactions.select("tx_id", "bp_num", "volume_usd"),
     "SELECT tx_id, bp_num, volume_usd FROM tx")
 add("B2_spread", lambda b: b.transactions.select("tx_id", "spread_bps"), "SELECT tx_id, spread_bps FROM tx")
+add("B1_volume_mixed_book", lambda b: mixed_book(b).transactions.select("tx_id", "bp_num", "volume_usd", "is_valid_completed"),
+    "SELECT tx_id, bp_num, volume_usd, valid AS is_valid_completed FROM mixed")
+add("B3_time_mixed_book", lambda b: mixed_book(b).transactions.select("tx_id", time_text("trigger_at_dt").alias("happened")),
+    f"SELECT tx_id, {TIME} AS happened FROM mixed")
+add("E0_features_mixed_book", lambda b: cf.build_features(mixed_book(b).transactions), f"SELECT {o.FEATURE_COLUMNS} FROM m_base")
 add("B3_time", lambda b: b.transactions.select("tx_id", time_text("trigger_at_dt").alias("happened")),
     f"SELECT tx_id, {TIME} AS happened FROM tx")
 add("B4_broker_clean", lambda b: b.transactions.select("tx_id", "broker_id_clean", "broker_name_clean"),
@@ -587,12 +609,17 @@ FITS = "true AS in_range, true AS score_fits, true AS label_fits"
 
 def tree_facts(b: ClientBook) -> DataFrame:
     """Size of the stored model, beside each client that it scores."""
-    trees = b.model.stages[-1]
-    deepest = max(t.depth for t in trees.trees)
+    model = b.model
     return b.churn_scores.select(
-        "client_id", F.lit(trees.getNumTrees).alias("rounds"),
-        F.lit(deepest <= churn_model.DEPTH).alias("shallow"),
-        F.lit(round(min(trees.treeWeights), 9)).alias("rate"), F.lit(trees.numFeatures).alias("inputs"))
+        "client_id", F.lit(len(model.trees)).alias("rounds"),
+        F.lit(model.depth <= churn_model.DEPTH).alias("shallow"),
+        F.lit(model.rate).alias("rate"), F.lit(len(model.inputs)).alias("inputs"))
+
+
+def first_tree(b: ClientBook) -> DataFrame:
+    """Splits and leaves of the first tree of the stored model."""
+    found = boosting.node_table(b.model).where("tree = 0").drop("tree")
+    return found.withColumns({c: F.round(c, 6) for c in ("threshold", "gain", "cover", "value")})
 
 
 def reloaded_difference(b: ClientBook) -> DataFrame:
@@ -649,6 +676,8 @@ add("M2_boosted_trees",
     lambda b: churn_model.score_clients(b.model, b.features))
 add("M2_tree_facts", tree_facts,
     f"SELECT client_id, {ROUNDS} AS rounds, true AS shallow, 0.05::DOUBLE AS rate, 10 AS inputs FROM feat")
+add("M2_first_tree", first_tree, o.first_tree(
+    churn_model.SEED, churn_model.DEPTH, churn_model.RATE, churn_model.ROW_SHARE, churn_model.COLUMN_SHARE, boosting.BINS))
 add("M3_out_of_fold", lambda b: b.validated)
 add("M3_fold_sizes", fold_sizes,
     "SELECT churned, CAST((i - 1) % 5 AS INTEGER) AS fold, count(*) AS n, count(*) AS clients, true AS in_range FROM "
@@ -675,6 +704,19 @@ add("M9_features_before_cutoff",
     lambda b: cf.build_features_before(b.transactions, churn.label_cutoff(b.transactions)),
     f"SELECT {o.FEATURE_COLUMNS} FROM p_base")
 
+
+
+def features_at_cutoffs(b: ClientBook) -> DataFrame:
+    """Features at five midnights from the daily state."""
+    last = b.transactions.agg(F.to_date(F.max("trigger_at_dt"))).first()[0]
+    found = b.features_at([last - timedelta(days=d) for d in o.CUTOFF_DAYS])
+    return found.withColumn("cutoff", F.col("cutoff").cast("string"))
+
+
+add("M9_features_at_cutoffs", features_at_cutoffs, " UNION ALL ".join(
+    f"SELECT strftime({o.cutoff(days)}, '%Y-%m-%d') AS cutoff, {o.FEATURE_COLUMNS} FROM cut{k}_base"
+    for k, days in enumerate(o.CUTOFF_DAYS)))
+
 # --- P. reports -------------------------------------------------------------------------------------------
 EDA = f"""
     SELECT 'shape' AS section, k AS key, CAST(v AS DOUBLE) AS value FROM (SELECT 'row_count' AS k, count(*) AS v FROM tx)

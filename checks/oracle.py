@@ -198,6 +198,14 @@ def base_steps(prefix: str, rows: str, as_of: str) -> dict[str, str]:
     }
 
 
+#: Midnights at which features are compared, in days before the day of the last transaction.
+CUTOFF_DAYS = (0, 15, 45, 90, 150)
+
+
+def cutoff(days: int) -> str:
+    return f"(SELECT date_trunc('day', max(ts)) - INTERVAL {days} DAY FROM tx)"
+
+
 STEPS: dict[str, str] = {
     "raw": """
         SELECT o_orderkey AS tx_id, 'C' || lpad(CAST(client AS VARCHAR), 9, '0') AS balance_owner_uuid,
@@ -234,10 +242,25 @@ STEPS: dict[str, str] = {
           coalesce(status = 'COMPLETED' AND volume_usd > 0 AND ts IS NOT NULL, false) AS valid,
           coalesce(status = 'COMPLETED' AND volume_usd > 0, false) AS reported
         FROM tx0""",
+    "mixed0": """
+        SELECT * REPLACE (CASE WHEN tx_id % 89 <> 0 THEN bp_num * ([1.0, 2.0, 3.0, 7.0][CAST(tx_id % 4 + 1 AS INTEGER)]::DOUBLE * 100000000.0::DOUBLE)
+            / 100000000.0::DOUBLE END AS volume_usd,
+          CASE WHEN tx_id % 12 IN (5, 6) THEN date_trunc('day', ts) WHEN tx_id % 12 IN (2, 4, 7, 9) THEN date_trunc('minute', ts)
+            ELSE ts END AS ts)
+        FROM tx0""",
+    "mixed": """
+        SELECT *, broker_name IS NOT NULL AS has_broker,
+          coalesce(status = 'COMPLETED' AND volume_usd > 0 AND ts IS NOT NULL, false) AS valid
+        FROM mixed0""",
+    **base_steps("m_", "mixed", "(SELECT max(ts) FROM mixed)"),
     "ref": "SELECT max(ts) AS r, max(ts) - INTERVAL 90 DAY AS c FROM tx",
     **base_steps("f_", "tx", "(SELECT r FROM ref)"),
     "past_tx": "SELECT * FROM tx WHERE ts < (SELECT c FROM ref)",
     **base_steps("p_", "past_tx", "(SELECT c FROM ref)"),
+    **{name: step for k, days in enumerate(CUTOFF_DAYS) for name, step in {
+        f"cut{k}_tx": f"SELECT * FROM tx WHERE ts < {cutoff(days)}",
+        **base_steps(f"cut{k}_", f"cut{k}_tx", cutoff(days)),
+    }.items()},
     "edges": """
         SELECT quantile_cont(days_since_last_tx, [0, 0.25, 0.5, 0.75, 1]) AS er,
           quantile_cont(CAST(tx_count_90d AS DOUBLE), [0, 0.25, 0.5, 0.75, 1]) AS ef,
@@ -382,6 +405,60 @@ STEPS: dict[str, str] = {
 }
 
 
+def first_tree(seed: int, depth: int, rate: float, row_share: float, column_share: float, bins: int) -> str:
+    """The first boosted tree over the labelled clients, level by level, as one nested select."""
+    n, unit, turn = len(fv.MODEL_FEATURES), float(1 << 32), seed * 1_000_003
+    wrap, odd = 1 << 64, (11400714819323198485, 13787848793156543929, 10723151780598845931)
+    values = ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE)" for c in fv.MODEL_FEATURES)
+
+    def times(x: str, factor: int) -> str:
+        return f"CAST((CAST({x} AS UHUGEINT) * {factor}::UHUGEINT) % {wrap}::UHUGEINT AS UBIGINT)"
+
+    def mix(x: str, turn: int) -> str:
+        start = f"CAST((CAST({x} AS UHUGEINT) + {(turn + 1) * odd[0] % wrap}::UHUGEINT) % {wrap}::UHUGEINT AS UBIGINT)"
+        once = f"(SELECT {times('xor(z, z >> 30)', odd[1])} FROM (SELECT {start} AS z))"
+        twice = f"(SELECT {times('xor(z, z >> 27)', odd[2])} FROM (SELECT {once} AS z))"
+        return f"(SELECT xor(z, z >> 31) FROM (SELECT {twice} AS z))"
+
+    worth = "({0} * {0} / ({1} + 1.0::DOUBLE))".format
+    steps = [f"""train AS (SELECT client_id, churned, [{values}] AS x, ('0x' || substr(md5(client_id), 1, 15))::BIGINT AS key
+        FROM feat JOIN labels USING (client_id))""", """
+      long AS (SELECT client_id, unnest(range(""" + str(n) + """)) AS f, unnest(x) AS x FROM train)""", f"""
+      edge AS (SELECT f, list_sort(list_distinct(list(x))) AS cuts FROM (
+        SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) AS rn, count(*) OVER (PARTITION BY f) AS n FROM long)
+        WHERE rn IN (SELECT unnest(list_transform(range(1, {bins}), lambda k: CAST(ceil(k * n / {float(bins)}::DOUBLE) AS BIGINT))))
+        GROUP BY f)""", f"""
+      used AS (SELECT f FROM (SELECT f, {mix('f + 1', -turn - 2)} AS place FROM range({n}) t(f)) ORDER BY place
+        LIMIT {max(1, int(column_share * n))})""", """
+      binned AS (SELECT client_id, f, len(list_filter(cuts, lambda e: e < x)) AS b FROM long JOIN edge USING (f))""", f"""
+      prior AS (SELECT avg(churned) AS p FROM train)""", f"""
+      drawn AS (SELECT client_id, round_even((p - churned) * {unit}, 0) AS g, round_even(p * (1 - p) * {unit}, 0) AS h
+        FROM train, prior WHERE ({mix('key', turn)} >> 32) < {int(row_share * (1 << 32))})""", """
+      node0 AS (SELECT client_id, 0 AS node FROM drawn)"""]
+    for d in range(depth):
+        steps.append(f"""
+      cell{d} AS (SELECT node, f, b, sum(g) AS g, sum(h) AS h FROM node{d} JOIN drawn USING (client_id)
+        JOIN binned USING (client_id) JOIN used USING (f) GROUP BY node, f, b),
+      side{d} AS (SELECT node, f, b, sum(g) OVER w / {unit} AS gl, sum(h) OVER w / {unit} AS hl,
+        sum(g) OVER (PARTITION BY node, f) / {unit} AS g, sum(h) OVER (PARTITION BY node, f) / {unit} AS h
+        FROM cell{d} WINDOW w AS (PARTITION BY node, f ORDER BY b)),
+      best{d} AS (SELECT node, f, b, gain, h FROM (SELECT *, {worth('gl', 'hl')} + {worth('(g - gl)', '(h - hl)')} - {worth('g', 'h')} AS gain
+        FROM side{d} WHERE hl >= 1 AND h - hl >= 1) WHERE gain > 1e-6
+        QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, b) = 1),
+      node{d + 1} AS (SELECT client_id, 2 * node + 1 + CAST(coalesce(binned.b > best{d}.b, false) AS INTEGER) AS node
+        FROM node{d} LEFT JOIN best{d} USING (node) LEFT JOIN binned USING (client_id, f))""")
+    names = ", ".join(quote(c) for c in fv.MODEL_FEATURES)
+    splits = " UNION ALL ".join(
+        f"SELECT node, [{names}][f + 1] AS input, cuts[b + 1] AS threshold, gain, h AS cover, NULL::DOUBLE AS value "
+        f"FROM best{d} JOIN edge USING (f)" for d in range(depth))
+    return f"""SELECT * FROM (
+      WITH {','.join(steps)}
+      SELECT CAST(node AS INTEGER) AS node, input, round(threshold, 6) AS threshold, round(gain, 6) AS gain,
+        round(cover, 6) AS cover, round(value, 6) AS value
+      FROM ({splits} UNION ALL SELECT node, NULL, NULL, NULL, sum(h) / {unit},
+        -{rate} * (sum(g) / {unit}) / (sum(h) / {unit} + 1.0::DOUBLE) FROM node{depth} JOIN drawn USING (client_id) GROUP BY node))"""
+
+
 def sql(select: str) -> str:
     """``select`` with the steps it needs in front."""
     needed: set[str] = set()

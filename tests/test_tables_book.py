@@ -107,13 +107,99 @@ def test_command_line_steps(spark, tmp_path, raw, capsys):
     assert spark.read.parquet(f"{folder}/reports/activity_grid").count() == 168
 
 
-def test_new_input_replaces_the_book(spark, tmp_path, raw):
-    def book(clients, **options):
-        rows = [{"balance_owner_uuid": f"client-{c:04d}"} for c in range(clients)]
-        return ClientBook(spark, str(tmp_path / "book"), raw(*rows), **options)
+@pytest.fixture
+def clients(raw):
+    """clients(n): one raw row for each of n clients."""
+    return lambda n, **more: raw(*[{"balance_owner_uuid": f"client-{c:04d}"} | more for c in range(n)])
+
+
+class Builds:
+    """Names of the tables that are written, in order, and the raw tables that are scanned."""
+
+    def __init__(self, monkeypatch):
+        from bookpulse.sources import lineage
+
+        self.names, self.digests = [], 0
+        write, save, digest = tables.write_table, tables.save_model, lineage.table_digest
+
+        def counted(*args):
+            self.digests += 1
+            return digest(*args)
+
+        monkeypatch.setattr(tables, "write_table", lambda df, path: (self.names.append(path.split("/")[-1]), write(df, path))[1])
+        monkeypatch.setattr(tables, "save_model", lambda m, path: (self.names.append(path.split("/")[-1]), save(m, path))[1])
+        monkeypatch.setattr(lineage, "table_digest", counted)
+
+    def taken(self):
+        found, self.names = self.names, []
+        return found
+
+
+def test_new_input_replaces_the_book(spark, tmp_path, clients, monkeypatch):
+    builds, folder = Builds(monkeypatch), str(tmp_path / "book")
+    assert ClientBook(spark, folder, clients(5)).features.count() == 5
+    assert builds.taken() == ["transactions", "reference_date", "features"] and builds.digests == 0
+    # Other rows give another book, without being asked for one.
+    assert ClientBook(spark, folder, clients(50)).features.count() == 50
+    assert builds.taken() == ["transactions", "reference_date", "features"] and builds.digests == 1
+    # The same rows, in other partitions and order, are digested once and nothing is built.
+    again = ClientBook(spark, folder, clients(50).repartition(7).orderBy("balance_owner_uuid", ascending=False))
+    assert again.features.count() == 50 and again.opportunities.count() > 0
+    assert builds.taken() == ["opportunities"] and builds.digests == 2
+    assert again.features.count() == 50 and builds.digests == 2
+    # Without raw rows the stored ones stand; one row more is another input.
+    assert ClientBook(spark, folder).features.count() == 50 and builds.taken() == []
+    more = clients(50).unionByName(clients(1))
+    assert ClientBook(spark, folder, more).features.where("tx_count_total = 2").count() == 1
+    assert ClientBook(spark, folder, more, replace=True).features.count() == 50
+    assert builds.taken().count("features") == 2
+
+
+def test_settings_rebuild_what_follows_from_them(spark, tmp_path, raw, monkeypatch):
+    rows = [
+        {"balance_owner_uuid": f"client-{c:04d}", "trigger_at": f"2025-{m:02d}-{1 + c % 20:02d} 10:00:00+00", "balance_paid": str(c + m)}
+        for c in range(40) for m in ((1, 2, 6) if c % 2 else (1, 2))
+    ]
+    builds, folder = Builds(monkeypatch), str(tmp_path / "book")
+    first = ClientBook(spark, folder, raw(*rows), rounds=1)
+    assert first.churn_scores.count() == 40
+    assert {"features", "churn_training", "churn_model", "churn_scores"} <= set(builds.taken())
+    assert ClientBook(spark, folder, raw(*rows), rounds=1).churn_scores.count() == 40 and builds.taken() == []
+    other = ClientBook(spark, folder, raw(*rows), rounds=2)
+    assert other.churn_scores.count() == 40 and builds.taken() == ["churn_model", "churn_scores"]
+    assert len(other.model.trees) == 2
+    with_id = ClientBook(spark, folder, raw(*rows).selectExpr("*", "1 AS tx_id"), rounds=2, extra_columns=("tx_id",))
+    assert "tx_id" in with_id.transactions.columns and builds.taken() == ["transactions"]
+
+
+def test_interrupted_build_is_repeated(spark, tmp_path, clients, monkeypatch):
+    folder = str(tmp_path / "book")
+    assert ClientBook(spark, folder, clients(3)).features.count() == 3
+    (tmp_path / "book" / "features" / "_recipe.json").unlink()  # written last
+    builds = Builds(monkeypatch)
+    assert ClientBook(spark, folder, clients(3)).features.count() == 3
+    assert builds.taken() == ["features"]
+    with pytest.raises(ValueError):
+        _ = ClientBook(spark, str(tmp_path / "none")).features
+
 
-    assert book(5).features.count() == 5
-    assert book(50, replace=True).features.count() == 50
+def test_digest_of_a_table(spark):
+    from bookpulse.sources.lineage import table_digest
+
+    schema = "a string, b string, c double, d long"
+    base = [("x", None, 1.0, 1), (None, "x", 1.0, 1), ("x", "x", None, None), ("x", None, 1.0, 1)]
+
+    def digest(rows, parts=1, columns=("a", "b", "c", "d")):
+        return table_digest(spark.createDataFrame(rows, schema).repartition(parts), columns)
+
+    whole = digest(base)
+    assert digest(base[::-1], 3) == whole
+    different = [
+        base[:3], base + base[:1], [("x", None, 1.0, 1)] * 3 + base[2:3], [(None, "x", 1.0, 1), *base[1:]],
+        [("x", None, 1.0, 2), *base[1:]], [], [(None, None, None, None)], [(None, None, None, None)] * 2,
+    ]
+    assert len({whole, *map(digest, different)}) == 1 + len(different)
+    assert digest(base, columns=("a", "b")) != digest(base, columns=("b", "a"))
 
 
 def test_csv_field_with_a_line_break(spark, tmp_path):
