@@ -1,13 +1,14 @@
 """Gradient-boosted trees on histograms, many models at a time.
 
-Inputs become byte-sized bins once, between quantiles of the whole table. A level of a tree is
-one job: every block of rows adds up gradients and hessians per (model, node, input, bin), only
-for the smaller child of each pair, since its sibling is the parent less it. The driver gets
-those sums, whose size does not depend on the rows, and picks second-order splits. Scores of
-the rows travel with their blocks from tree to tree and are checkpointed every few trees, so a
-lost executor costs a few trees of its own blocks.
-
-Several models (one per fold, say) share the jobs: they differ in the rows left out only.
+Inputs become byte-sized bins, between quantiles of the whole table. For a level of a tree,
+gradients and hessians are added up per (model, node, input, bin), only for the smaller child of
+each pair, since its sibling is the parent less it; the sums, whose size does not depend on the
+rows, give the second-order splits. A bounded number of rows (``TASK_ROWS``) is boosted within
+one task, where a job per level would be nothing but waiting. More rows are dealt to many
+tasks: a level is one job that adds up their sums, and the rows' scores stay with them,
+checkpointed every few trees, so a lost executor costs a few trees of its own rows.
+
+Several models (one per fold, say) share all of it: they differ in the rows left out only.
 Gradients are added as whole numbers, and rows and inputs are drawn by hashes of a row's key
 and the number of the tree, so neither partitions nor their order change a model.
 """
@@ -15,6 +16,7 @@ and the number of the tree, so neither partitions nor their order change a model
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -25,15 +27,15 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.session import keep_checkpoints
+from bookpulse.session import importable, keep_checkpoints
 
 BINS = 64
 PENALTY, LEAST_HESSIAN, LEAST_GAIN = 1.0, 1.0, 1e-6
 #: Gradients are counted in units of 2 ** -32: sums of 2 ** 31 rows fit.
 _UNIT = float(1 << 32)
-#: Rows that travel as one block.
-_BLOCK = 1 << 18
-_CHECKPOINT = 25
+#: Rows that one task boosts (of many tasks, about so many each), most tasks, trees between checkpoints.
+TASK_ROWS, MOST_TASKS, CHECKPOINT = 1 << 18, 4096, 25
+_CHUNK = 1 << 20
 _MASK = (1 << 64) - 1
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -180,6 +182,8 @@ def _empty_tree(depth: int) -> Tree:
 
 def with_probability(model: BoostedTrees, df: DataFrame, name: str) -> DataFrame:
     """Add the probability of class 1; inputs reach Python in Arrow batches."""
+    importable(df.sparkSession)
+
     @F.pandas_udf("double")
     def probability(*columns: pd.Series) -> pd.Series:
         return pd.Series(1 / (1 + np.exp(-model.margins([c.to_numpy() for c in columns]))))
@@ -194,75 +198,63 @@ def quantile_edges(df: DataFrame, inputs: Sequence[str], bins: int = BINS) -> li
     return [np.unique(np.array(found[c] or [], dtype=np.float64)) for c in inputs]
 
 
-def _blocks(df: DataFrame, inputs: Sequence[str], edges: list[np.ndarray], label: str, key: str, fold: str | None,
-            base: np.ndarray) -> RDD:
-    """Blocks (keys, labels, folds, bins, margins) of the rows."""
-    binned = BoostedTrees(tuple(inputs), edges, 0.0, 0.0).bins
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-
-        def flushed() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(waiting)
-            keys, y, folds, *columns = (c.to_numpy() for c in rows.columns)
-            waiting.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x.tobytes()], pa.binary()) for x in (
-                    keys.astype("<i8"), y.astype("u1"), folds.astype("i1"), binned(columns).astype("u1"))],
-                ["keys", "y", "folds", "bins"],
-            )
+class Rows:
+    """The rows of one task: keys, labels, folds, bins, and a margin per model."""
 
+    def __init__(self, batches: Iterator[pa.RecordBatch], models: Sequence[BoostedTrees]):
+        kinds, n_inputs = ("<i8", "u1", "i1"), len(models[0].inputs)
+        parts: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+        bins = [np.zeros((n_inputs, 0), "u1")]
         for batch in batches:
-            waiting.append(batch)
-            if sum(b.num_rows for b in waiting) >= _BLOCK:
-                yield flushed()
-        if sum(b.num_rows for b in waiting):
-            yield flushed()
-
-    def opened(row) -> tuple:
-        keys = np.frombuffer(row[0], "<i8")
-        bins = np.frombuffer(row[3], "u1").reshape(len(inputs), -1)
-        return (keys, np.frombuffer(row[1], "u1"), np.frombuffer(row[2], "i1"), bins, np.repeat(base[:, None], len(keys), axis=1))
-
-    rows = df.select(
-        row_key(F.col(key)).alias("_key"), F.col(label).cast("int").alias("_label"),
-        (F.col(fold) if fold else F.lit(-1)).cast("int").alias("_fold"),
-        *[F.col(c).cast("double").alias(f"_input{i}") for i, c in enumerate(inputs)],
-    )
-    return rows.mapInArrow(pack, "keys binary, y binary, folds binary, bins binary").rdd.map(opened)
-
-
-def _gradients(block: tuple, left_out: Sequence[int], turn: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per model the rows drawn, and their gradients and hessians in whole units."""
-    keys, y, folds, _, margins = block
-    sample = drawn(keys, turn, share)
-    for margin, fold in zip(margins, left_out):
-        rows = np.flatnonzero(sample & (folds != fold) if fold >= 0 else sample)
-        p = 1 / (1 + np.exp(-margin[rows]))
-        yield rows, np.rint((p - y[rows]) * _UNIT).astype(np.int64), np.rint(p * (1 - p) * _UNIT).astype(np.int64)
-
-
-def _sums(block: tuple, left_out: Sequence[int], turn: int, share: float, columns: np.ndarray, bins: int,
-          level: int, trees: Sequence[Tree], counted: np.ndarray) -> np.ndarray:
-    """[gradient or hessian, model, counted node, input, bin] of one block.
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for part, column, kind in zip(parts, columns, kinds):
+                part.append(column.astype(kind))
+            bins.append(models[0].bins(columns[len(kinds):]).astype("u1"))
+        self.keys, self.labels, self.folds = (np.concatenate(p) for p in parts)
+        self.bins = np.concatenate(bins, axis=1)
+        self.margins = [np.full(len(self.keys), m.base) for m in models]
+
+    def move(self, trees: Sequence[Tree]) -> Rows:
+        """Add a further tree of each model to the margins."""
+        for margin, tree in zip(self.margins, trees):
+            margin += tree.value[tree.leaves(self.bins)]
+        return self
+
+    def gradients(self, left_out: Sequence[int], turn: int, share: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per model the rows drawn, and their gradients and hessians in whole units."""
+        sample, out = drawn(self.keys, turn, share), []
+        for margin, fold in zip(self.margins, left_out):
+            rows = np.flatnonzero(sample & (self.folds != fold) if fold >= 0 else sample)
+            p = 1 / (1 + np.exp(-margin[rows]))
+            out.append((
+                rows, np.rint((p - self.labels[rows]) * _UNIT).astype(np.int64), np.rint(p * (1 - p) * _UNIT).astype(np.int64)
+            ))
+        return out
 
-    ``counted``: per model and node of the level its place among the nodes that are added up, or -1.
-    """
-    places, n_nodes = block[3], int(counted.max()) + 1
-    out = np.zeros((2, len(left_out), n_nodes, len(columns), bins), dtype=np.int64)
-    for m, (rows, g, h) in enumerate(_gradients(block, left_out, turn, share)):
-        node = descend(places[:, rows], trees[m].feature, trees[m].bin, level) - (2 ** level - 1)
-        at = counted[m][node]
-        some = at >= 0
-        rows, at, g, h = rows[some], at[some], g[some], h[some]
-        for c, column in enumerate(columns):
-            cell = at * bins + places[column, rows]
-            for k, values in enumerate((g, h)):
-                # Weighted counts are doubles: halves of 2 ** 26 keep their sums exact.
-                low = np.bincount(cell, values & 0x3FFFFFF, n_nodes * bins)
-                high = np.bincount(cell, values >> 26, n_nodes * bins)
-                out[k, m, :, c] += (low.astype(np.int64) + (high.astype(np.int64) << 26)).reshape(n_nodes, bins)
-    return out
+    def sums(self, gradients: Sequence[tuple], columns: np.ndarray, bins: int, level: int, trees: Sequence[Tree],
+             counted: np.ndarray) -> np.ndarray:
+        """[gradient or hessian, model, counted node, input, bin] of these rows.
+
+        ``counted``: per model and node of the level its place among the nodes that are added up, or -1.
+        """
+        n_nodes = int(counted.max()) + 1
+        out = np.zeros((2, len(trees), n_nodes, len(columns), bins), dtype=np.int64)
+        for m, (rows, g, h) in enumerate(gradients):
+            node = descend(self.bins[:, rows], trees[m].feature, trees[m].bin, level) - (2 ** level - 1)
+            at = counted[m][node]
+            some = at >= 0
+            rows, at = rows[some], at[some]
+            for k, values in enumerate((g[some], h[some])):
+                # Weighted counts are doubles: halves of 26 bits keep the sums of a chunk exact.
+                for start in range(0, len(rows), _CHUNK):
+                    part = slice(start, start + _CHUNK)
+                    low, high = values[part] & 0x3FFFFFF, values[part] >> 26
+                    for c, column in enumerate(columns):
+                        cell = at[part] * bins + self.bins[column, rows[part]]
+                        total = np.bincount(cell, low, n_nodes * bins).astype(np.int64)
+                        total += np.bincount(cell, high, n_nodes * bins).astype(np.int64) << 26
+                        out[k, m, :, c] += total.reshape(n_nodes, bins)
+        return out
 
 
 def _best_splits(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,81 +274,15 @@ def _best_splits(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return best // gain.shape[2], best % gain.shape[2], np.where(found > LEAST_GAIN, found, 0.0)
 
 
-def _summed(blocks: RDD, partial) -> np.ndarray:
-    """One job: sums of each block, added up on the way where there are many partitions."""
-    sums = blocks.mapPartitions(lambda own: [total] if (total := _added(map(partial, own))) is not None else [])
-    if blocks.getNumPartitions() <= 32:
-        return _added(sums.collect())
-    return sums.treeReduce(np.add)
-
-
-def _added(arrays) -> np.ndarray | None:
-    total = None
-    for x in arrays:
-        total = x if total is None else total + x
-    return total
-
-
 def columns_of(turn: int, n: int, share: float) -> np.ndarray:
     """The inputs that a tree may use."""
     return np.sort(np.argsort(mixed(np.arange(1, n + 1), -turn - 2), kind="stable")[:max(1, int(share * n))])
 
 
-def fit(
-    df: DataFrame, inputs: Sequence[str], label: str, key: str, rounds: int, depth: int, rate: float,
-    row_share: float = 1.0, column_share: float = 1.0, seed: int = 0, fold: str | None = None,
-    left_out: Sequence[int] = (-1,), bins: int = BINS,
-) -> list[BoostedTrees]:
-    """One model for each entry of ``left_out``: fitted to the rows of all other folds (-1: of all).
-
-    Pass a written table: it is read for the quantiles, the mean label and the blocks.
-    """
-    spark = df.sparkSession
-    keep_checkpoints(spark)
-    edges = quantile_edges(df, inputs, bins)
-    by_fold = df.groupBy((F.col(fold) if fold else F.lit(-1)).alias("k")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("y"))
-    counts = {r.k: (r.n, r.y) for r in by_fold.collect()}  # one row per fold
-    base = []
-    for out in left_out:
-        n, y = (sum(x) for x in zip((0, 0), *(c for k, c in counts.items() if out < 0 or k != out)))
-        p = min(max(y / n, 1e-6), 1 - 1e-6) if n else 0.5
-        base.append(math.log(p / (1 - p)))
-    models = [BoostedTrees(tuple(inputs), edges, b, rate) for b in base]
-    if not counts:
-        return models
-
-    blocks = _blocks(df, inputs, edges, label, key, fold, np.array(base)).persist(StorageLevel.MEMORY_AND_DISK)
-    for turn in range(rounds):
-        number = seed * 1_000_003 + turn
-        trees, columns = [_empty_tree(depth) for _ in models], columns_of(number, len(inputs), column_share)
-        sums = None  # of all nodes of the level above
-        for level in range(depth):
-            sums = _level(blocks, left_out, number, row_share, columns, bins, level, trees, sums)
-        first = 2 ** depth - 1
-        for model, tree in zip(models, trees):
-            model.trees.append(tree)
-            leaf = tree.cover[first:] > 0
-            tree.value[leaf] = -rate * tree.value[leaf] / (tree.cover[first:][leaf] + PENALTY)
-        carried = blocks.map(lambda block, trees=trees: (
-            *block[:4], block[4] + np.stack([t.value[t.leaves(block[3])] for t in trees]))).persist(StorageLevel.MEMORY_AND_DISK)
-        if (turn + 1) % _CHECKPOINT == 0 and turn + 1 < rounds:
-            carried.checkpoint()
-            carried.count()
-        if turn + 1 < rounds:
-            before, blocks = blocks, carried
-            if turn:
-                older.unpersist()
-            older = before
-    for last in (blocks, older) if rounds > 1 else (blocks,):
-        last.unpersist()
-    return models
-
-
-def _level(blocks: RDD, left_out: Sequence[int], turn: int, share: float, columns: np.ndarray, bins: int, level: int,
-           trees: list[Tree], above: np.ndarray | None) -> np.ndarray:
-    """Split all nodes of a level, in one job; returns their sums [2, model, node, input, bin].
+def _split_level(columns: np.ndarray, bins: int, level: int, trees: list[Tree], above: np.ndarray | None, sums_of) -> np.ndarray:
+    """Split all nodes of a level; returns their sums [2, model, node, input, bin].
 
-    The last level also gives its children, the leaves, their sums.
+    ``sums_of(level, trees, counted)`` gives the sums of all rows. The last level also gives its children, the leaves, their sums.
     """
     n, first = 2 ** level, 2 ** level - 1
     if above is None:
@@ -366,19 +292,13 @@ def _level(blocks: RDD, left_out: Sequence[int], turn: int, share: float, column
         for m, tree in enumerate(trees):
             pairs = tree.cover[first:first + n].reshape(-1, 2)
             counted[m, 2 * np.arange(n // 2) + (pairs[:, 1] < pairs[:, 0])] = np.arange(n // 2)
-    small = [Tree(t.feature, t.bin, *[np.zeros(0)] * 3) for t in trees]
-
-    def partial(block: tuple) -> np.ndarray:
-        return _sums(block, left_out, turn, share, columns, bins, level, small, counted)
-
-    found = _summed(blocks, partial)
+    found = sums_of(level, trees, counted)
     sums = np.zeros((2, len(trees), n, len(columns), bins), dtype=np.int64)
-    for m in range(len(trees)):
+    for m, tree in enumerate(trees):
         chosen = np.flatnonzero(counted[m] >= 0)
         sums[:, m, chosen] = found[:, m, counted[m][chosen]]
         if above is not None:
             sums[:, m, chosen ^ 1] = above[:, m] - sums[:, m, chosen]
-    for m, tree in enumerate(trees):
         column, split, gain = _best_splits(sums[:, m])
         worth = gain > 0
         nodes = first + np.arange(n)
@@ -393,3 +313,102 @@ def _level(blocks: RDD, left_out: Sequence[int], turn: int, share: float, column
         if len(tree.value) == 2 * n:
             tree.value[:] = children[0]
     return sums
+
+
+def _grown(models: Sequence[BoostedTrees], columns: np.ndarray, bins: int, depth: int, sums_of) -> list[Tree]:
+    """One tree for each model, its leaves weighted."""
+    trees, sums = [_empty_tree(depth) for _ in models], None
+    for level in range(depth):
+        sums = _split_level(columns, bins, level, trees, sums, sums_of)
+    first = 2 ** depth - 1
+    for model, tree in zip(models, trees):
+        leaf = tree.cover[first:] > 0
+        tree.value[leaf] = -model.rate * tree.value[leaf] / (tree.cover[first:][leaf] + PENALTY)
+        model.trees.append(tree)
+    return trees
+
+
+def _boosted_here(rows: Rows, models: Sequence[BoostedTrees], left_out: Sequence[int], turns: range, depth: int,
+                  row_share: float, column_share: float, bins: int) -> None:
+    """Add a tree per turn to every model, all rows being at hand."""
+    for turn in turns:
+        columns, gradients = columns_of(turn, len(models[0].inputs), column_share), rows.gradients(left_out, turn, row_share)
+        rows.move(_grown(models, columns, bins, depth, lambda level, trees, counted, g=gradients, c=columns: rows.sums(
+            g, c, bins, level, trees, counted)))
+
+
+def _boosted_apart(parts: RDD, models: Sequence[BoostedTrees], left_out: Sequence[int], turns: range, depth: int,
+                   row_share: float, column_share: float, bins: int) -> None:
+    """The same for rows in many partitions: one job a level adds up their sums, margins stay where the rows are."""
+    parts, older = parts.persist(StorageLevel.MEMORY_AND_DISK), None
+    for k, turn in enumerate(turns, 1):
+        columns = columns_of(turn, len(models[0].inputs), column_share)
+
+        def sums_of(level: int, trees: list[Tree], counted: np.ndarray, turn=turn, columns=columns) -> np.ndarray:
+            splits = [Tree(t.feature, t.bin, *[np.zeros(0)] * 3) for t in trees]
+            found = parts.map(lambda rows: rows.sums(
+                rows.gradients(left_out, turn, row_share), columns, bins, level, splits, counted))
+            return sum(found.collect()) if found.getNumPartitions() <= 32 else found.treeReduce(np.add)
+
+        trees = _grown(models, columns, bins, depth, sums_of)
+        if k == len(turns):
+            break
+        moved = parts.map(lambda rows, trees=trees: rows.move(trees)).persist(StorageLevel.MEMORY_AND_DISK)
+        if k % CHECKPOINT == 0:
+            moved.checkpoint()
+            moved.count()
+        if older is not None:
+            older.unpersist()
+        parts, older = moved, parts
+    for last in filter(None, (parts, older)):
+        last.unpersist()
+
+
+def fit(
+    df: DataFrame, inputs: Sequence[str], label: str, key: str, rounds: int, depth: int, rate: float,
+    row_share: float = 1.0, column_share: float = 1.0, seed: int = 0, fold: str | None = None,
+    left_out: Sequence[int] = (-1,), bins: int = BINS, task_rows: int = TASK_ROWS,
+) -> list[BoostedTrees]:
+    """One model for each entry of ``left_out``: fitted to the rows of all other folds (-1: of all).
+
+    Pass a written table: it is read for the quantiles, the mean label and the rows.
+    """
+    spark = importable(df.sparkSession)
+    edges = quantile_edges(df, inputs, bins)
+    by_fold = df.groupBy((F.col(fold) if fold else F.lit(-1)).alias("k")).agg(
+        F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("y"))
+    counts = {r.k: (r.n, r.y) for r in by_fold.collect()}  # one row per fold
+    models = []
+    for out in left_out:
+        n, y = (sum(x) for x in zip((0, 0), *(c for k, c in counts.items() if out < 0 or k != out)))
+        p = min(max(y / n, 1e-6), 1 - 1e-6) if n else 0.5
+        models.append(BoostedTrees(tuple(inputs), edges, math.log(p / (1 - p)), rate))
+    if not counts:
+        return models
+    turns = range(seed * 1_000_003, seed * 1_000_003 + rounds)
+    options = left_out, turns, depth, row_share, column_share, bins
+    tasks = math.ceil(sum(n for n, _ in counts.values()) / task_rows)
+    rows = df.select(
+        row_key(F.col(key)).alias("key"), F.col(label).cast("int").alias("label"),
+        (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"),
+        *[F.col(c).cast("double").alias(f"input{i}") for i, c in enumerate(inputs)],
+    ).repartition(max(1, min(tasks, MOST_TASKS)), "key")
+
+    if tasks > 1:
+        keep_checkpoints(spark)
+        apart = rows.mapInArrow(lambda batches: _packed(Rows(batches, models)), "rows binary").rdd
+        _boosted_apart(apart.map(lambda r: pickle.loads(r[0])), models, *options)
+        return models
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _boosted_here(Rows(batches, models), models, *options)
+        return _packed([m.trees for m in models])
+
+    for model, trees in zip(models, pickle.loads(rows.mapInArrow(train, "trees binary").collect()[0].trees)):
+        model.trees = trees
+    return models
+
+
+def _packed(value: object) -> Iterator[pa.RecordBatch]:
+    """A value made by this module, as one row."""
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(value)], pa.large_binary()).cast(pa.binary())], ["value"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package; clusters ship it with ``--py-files``."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+    return spark
+
+
 def work_folder(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir`` as the cluster names it.
 

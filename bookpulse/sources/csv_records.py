@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bookpulse.session import importable
+
 _RECORD, _HEAD, _TAIL, _MIDDLE = range(4)
 _PIECES = "kind int, file string, block bigint, header boolean, text string"
 _OPTIONS = {"quote": '"', "escape": '"'}
@@ -114,7 +116,7 @@ def _glued(pieces: DataFrame) -> DataFrame:
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """file, header (the first of its file) and text of every record, line breaks as line feeds; blank lines left out."""
-    lines = _lines(spark, path)
+    lines = _lines(importable(spark), path)
     pieces = lines.mapInArrow(_pieces(_open_splits(lines)), _PIECES)
     whole = pieces.where(F.col("kind") == _RECORD).select("file", "header", "text")
     return whole.unionByName(_glued(pieces)).where(F.trim("text") != "")
