@@ -10,10 +10,11 @@ import json
 import os
 import time
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookpulse.operators import churn_model, metrics, profile
+from bookpulse.operators import churn_model, client_sets, metrics, profile
 from bookpulse.plans.client_book import ClientBook
 from bookpulse.session import prepare, work_folder
 from bookpulse.sources.tables import type_raw
@@ -61,6 +62,18 @@ def main() -> None:
     timed(f"cross_validate_{ROUNDS}_rounds", lambda: book.validated)
     timed("score_clients", lambda: book.churn_scores)
     timed("churn_report", lambda: book.churn_report)
+    def reopened() -> DataFrame:
+        """The same rows again: a digest, and no table is built."""
+        return ClientBook(spark, book.folder, type_raw(raw_transactions(spark, SF_DIR)), rounds=ROUNDS).features
+
+    def at_cutoffs() -> DataFrame:
+        last = book.reference_date_value()
+        return book.features_at([last - timedelta(days=d) for d in (0, 15, 45, 90, 150)])
+
+    timed("reopen_unchanged", reopened)
+    timed("features_at_5_cutoffs", at_cutoffs)
+    timed("client_sets", lambda: book.client_sets)
+    timed("clients_per_broker_and_month", lambda: client_sets.broker_clients(book.client_sets, "month"))
     timed("profile_report", lambda: profile.profile_report(book.transactions))
     scored = fixed_scores(book.features).join(book.churn_labels, "client_id")
     timed("ranking_metrics", lambda: metrics.ranking_metrics(scored))

@@ -24,12 +24,11 @@ from bookpulse.fixed_values import (
     TYPE_ICONS,
     TYPE_LABELS,
 )
-from bookpulse.functions.numbers import exact_sum, ratio
+from bookpulse.functions.numbers import exact_sum, halves, joined, parts, ratio
 from bookpulse.functions.text import fill, grouped, label, plain
 from bookpulse.operators.cleaning import reporting_subset
 from bookpulse.operators.labels import percent_text
-from bookpulse.operators.opportunities import filter_opportunities, type_counts
-from bookpulse.operators.rfm import segment_counts
+from bookpulse.operators.opportunities import filter_opportunities
 
 _CELLS = 7 * 24
 
@@ -144,21 +143,56 @@ def by_recency(status: DataFrame) -> DataFrame:
     return status.orderBy("broker_id", "days_since_last_tx", "client_id")
 
 
+_VOLUME, _MEAN = (tuple(f"{name}_{k}" for k in range(5)) for name in ("volume", "mean"))
+
+
+def client_cells(features: DataFrame) -> DataFrame:
+    """Counts and sums per broker and segment, of which all totals over clients are made.
+
+    Amounts stay apart in limbs, so totals of cells are as exact as totals of clients.
+    """
+    amounts = (("total_volume_usd", _VOLUME), ("avg_volume_usd", _MEAN))
+    split = {f"{names[0]}_{k}": half for c, names in amounts for k, half in zip("wfb", halves(F.col(c)))}
+    limbs = {
+        name: part for _, names in amounts for name, part in zip(names, parts(*[F.col(f"{names[0]}_{k}") for k in "wfb"]))
+    }
+    rows = features.select("broker_id", "segment", "client_id", "tx_count_completed", "total_volume_usd", "avg_volume_usd")
+    return rows.withColumns(split).withColumns(limbs).groupBy("broker_id", "segment").agg(
+        F.count(F.lit(1)).alias("clients"), F.count("client_id").alias("named"), F.sum("tx_count_completed").alias("tx"),
+        *[F.sum(c).alias(c) for c in (*_VOLUME, *_MEAN)],
+    )
+
+
+def opportunity_cells(opportunities: DataFrame) -> DataFrame:
+    """Opportunities per broker, type and priority."""
+    return opportunities.groupBy("broker_id", "opportunity_type", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _amount(names: Sequence[str], only: Column | None = None) -> Column:
+    """Total of an amount over cells, or over those for which ``only`` holds."""
+    return joined([F.sum(F.col(c) if only is None else F.when(only, F.col(c))) for c in names])
+
+
 def broker_card(features: DataFrame, opportunities: DataFrame) -> DataFrame:
     """Headline numbers of each broker's client book."""
+    return card_of(client_cells(features), opportunity_cells(opportunities))
+
+
+def card_of(clients: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """``broker_card`` from cells."""
     at_risk = F.col("segment") == "en_riesgo"
-    volume = F.col("total_volume_usd")
-    book = features.groupBy("broker_id").agg(
-        F.count(F.lit(1)).alias("clients"),
-        F.count_if(F.col("segment") == "activo_sano").alias("active"),
-        F.count_if(at_risk).alias("at_risk"),
-        F.count_if(F.col("segment") == "reactivar").alias("dormant"),
-        exact_sum(volume).cast("double").alias("total_volume_usd"),
-        F.coalesce(exact_sum(F.when(at_risk, volume)).cast("double"), F.lit(0.0)).alias("at_risk_volume_usd"),
+
+    def of(segment: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("segment") == segment, F.col("clients"))), F.lit(0))
+
+    book = clients.groupBy("broker_id").agg(
+        F.sum("clients").alias("clients"), of("activo_sano").alias("active"), of("en_riesgo").alias("at_risk"),
+        of("reactivar").alias("dormant"), _amount(_VOLUME).cast("double").alias("total_volume_usd"),
+        F.coalesce(_amount(_VOLUME, at_risk).cast("double"), F.lit(0.0)).alias("at_risk_volume_usd"),
     )
     upsell = (
         opportunities.where(F.col("opportunity_type") == "UPSELL")
-        .groupBy("broker_id").agg(F.count(F.lit(1)).alias("upsell"))
+        .groupBy("broker_id").agg(F.sum("n").alias("upsell"))
     )
     return book.join(upsell, "broker_id", "left").withColumns({
         "upsell": F.coalesce("upsell", F.lit(0)),
@@ -167,7 +201,12 @@ def broker_card(features: DataFrame, opportunities: DataFrame) -> DataFrame:
 
 
 def broker_kpis(tx: DataFrame, features: DataFrame) -> DataFrame:
-    """Volume, mean ticket, transactions and clients of each broker in ``features``.
+    """Volume, mean ticket, transactions and clients of each broker in ``features``."""
+    return kpis_of(tx, client_cells(features))
+
+
+def kpis_of(tx: DataFrame, clients: DataFrame) -> DataFrame:
+    """``broker_kpis`` with the client side from cells.
 
     Numbers come from the broker's own completed transactions; a broker without any, and
     clients without a broker, fall back to the client features (mean of client means).
@@ -180,11 +219,9 @@ def broker_kpis(tx: DataFrame, features: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("own_tx"),
         )
     )
-    book = features.groupBy("broker_id").agg(
-        exact_sum(F.col("total_volume_usd")).alias("book_volume"),
-        exact_sum(F.col("avg_volume_usd")).alias("book_means"),
-        F.sum("tx_count_completed").alias("book_tx"),
-        F.count("client_id").alias("clients"),
+    book = clients.groupBy("broker_id").agg(
+        _amount(_VOLUME).alias("book_volume"), _amount(_MEAN).alias("book_means"),
+        F.sum("tx").alias("book_tx"), F.sum("named").alias("clients"),
     )
     has_own = F.col("own_tx").isNotNull()
     return book.join(own, "broker_id", "left").select(
@@ -229,11 +266,16 @@ def kpi_texts(kpis: DataFrame) -> DataFrame:
 
 def distributions(features: DataFrame, opportunities: DataFrame) -> DataFrame:
     """Opportunities per type and clients per segment of each broker, with display labels."""
-    kinds = type_counts(opportunities, "broker_id").select(
+    return distributions_of(client_cells(features), opportunity_cells(opportunities))
+
+
+def distributions_of(clients: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """``distributions`` from cells; a cell of clients is a row of it already."""
+    kinds = opportunities.groupBy("broker_id", "opportunity_type").agg(F.sum("n").alias("n")).select(
         "broker_id", F.lit("type").alias("kind"), F.col("opportunity_type").alias("key"),
         label(F.col("opportunity_type"), TYPE_LABELS).alias("label"), "n",
     )
-    segments = segment_counts(features, "broker_id").select(
+    segments = clients.select(
         "broker_id", F.lit("segment").alias("kind"), F.col("segment").alias("key"),
         segment_label(F.col("segment")).alias("label"), F.col("clients").alias("n"),
     )
@@ -352,16 +394,29 @@ def first_broker(opportunities: DataFrame) -> DataFrame:
 
 def overview(features: DataFrame, opportunities: DataFrame) -> DataFrame:
     """Brokers with opportunities, clients, and clients at risk, over the whole book."""
+    return overview_of(client_cells(features), opportunity_cells(opportunities))
+
+
+def overview_of(clients: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """``overview`` from cells: brokers are the few rows that are left of the opportunities."""
     brokers = opportunities.agg(F.count_distinct("broker_id")).scalar()
-    return features.agg(
-        F.count("client_id").alias("clients"),
-        F.count_if(F.col("segment") == "en_riesgo").alias("at_risk"),
+    at_risk = F.sum(F.when((F.col("segment") == "en_riesgo"), F.col("clients")))
+    return clients.agg(
+        F.coalesce(F.sum("named"), F.lit(0)).alias("clients"), F.coalesce(at_risk, F.lit(0)).alias("at_risk"),
     ).select(brokers.alias("brokers"), "clients", "at_risk")
 
 
 def opportunity_totals(opportunities: DataFrame) -> DataFrame:
     """Per broker: opportunities without contact times, and all of high priority."""
+    return totals_of(opportunity_cells(opportunities))
+
+
+def totals_of(opportunities: DataFrame) -> DataFrame:
+    """``opportunity_totals`` from cells."""
+    def of(rows: Column) -> Column:
+        return F.coalesce(F.sum(F.when(rows, F.col("n"))), F.lit(0))
+
     return opportunities.groupBy("broker_id").agg(
-        F.count_if(F.col("opportunity_type") != "BEST_TIME").alias("opportunities"),
-        F.count_if(F.col("priority") == "high").alias("high_priority"),
+        of(F.col("opportunity_type") != "BEST_TIME").alias("opportunities"),
+        of(F.col("priority") == "high").alias("high_priority"),
     )

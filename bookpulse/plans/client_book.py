@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookpulse import schemas
-from bookpulse.operators import broker_reports, churn_model, daily_state, labels, messages, opportunities, rfm
+from bookpulse.operators import broker_reports, churn_model, client_sets, daily_state, labels, messages, opportunities, rfm
 from bookpulse.operators.boosting import BoostedTrees
 from bookpulse.operators.cleaning import clean
 from bookpulse.operators.client_features import build_features
@@ -35,6 +35,9 @@ BUILT_FROM = {
     "opportunities": ("features",),
     "daily_state": ("transactions",),
     "daily_names": ("transactions",),
+    "client_cells": ("features",),
+    "opportunity_cells": ("opportunities",),
+    "client_sets": ("transactions",),
     "churn_labels": ("transactions", "reference_date"),
     "churn_training": ("features", "churn_labels"),
     "churn_validated": ("churn_training",),
@@ -137,6 +140,11 @@ class ClientBook:
         )
         return kept.scalar()
 
+    def reference_date_value(self) -> date:
+        """The day of the latest valid time."""
+        _ = self.reference_date  # built if need be
+        return self.spark.read.parquet(f"{self.folder}/reference_date").first()["at"].date()
+
     @property
     def features(self) -> DataFrame:
         return self._table("features", lambda: scored_features(self.transactions, self.reference_date))
@@ -147,6 +155,11 @@ class ClientBook:
         names = self._table("daily_names", lambda: daily_state.daily_names(self.transactions))
         return daily_state.features_at(state, names, cutoffs)
 
+    @property
+    def client_sets(self) -> DataFrame:
+        """Clients per broker, status and month as bitmaps, for distinct counts over any of them."""
+        return self._table("client_sets", lambda: client_sets.sets_of(self.transactions))
+
     @property
     def opportunities(self) -> DataFrame:
         """Opportunities in listing order (a range sort: large brokers span several files)."""
@@ -208,23 +221,28 @@ class ClientBook:
         return tables.read_messages_or_empty(self.spark, path)
 
     def reports(self) -> dict[str, DataFrame]:
-        """Every broker report, with churn columns where scores have been stored."""
+        """Every broker report, with churn columns where scores have been stored.
+
+        Totals over clients and opportunities come from two written tables of cells.
+        """
         scores = tables.read_scores_or_empty(self.spark, f"{self.folder}/churn_scores")
         tx, features, found = self.transactions, self.features, self.opportunities
         status = broker_reports.client_status(features, scores)
-        kpis = broker_reports.broker_kpis(tx, features)
+        clients = self._table("client_cells", lambda: broker_reports.client_cells(features))
+        offers = self._table("opportunity_cells", lambda: broker_reports.opportunity_cells(found))
+        kpis = broker_reports.kpis_of(tx, clients)
         return {
             "opportunity_table": broker_reports.opportunity_table(found, scores),
-            "broker_card": broker_reports.broker_card(features, found),
+            "broker_card": broker_reports.card_of(clients, offers),
             "broker_kpis": kpis,
             "kpi_texts": broker_reports.kpi_texts(kpis),
-            "distributions": broker_reports.distributions(features, found),
+            "distributions": broker_reports.distributions_of(clients, offers),
             "top_clients": broker_reports.top_clients(features),
             "monthly_volume": broker_reports.monthly_volume(tx),
             "activity_grid": broker_reports.activity_grid(tx, features),
             "client_status": broker_reports.by_recency(status),
-            "overview": broker_reports.overview(features, found),
-            "opportunity_totals": broker_reports.opportunity_totals(found),
+            "overview": broker_reports.overview_of(clients, offers),
+            "opportunity_totals": broker_reports.totals_of(offers),
         }
 
     def _raw(self) -> DataFrame:

@@ -25,7 +25,8 @@ def importable(spark: SparkSession) -> SparkSession:
 def work_folder(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Where that is unset, a folder below the warehouse, which is shared as well.
+    Where that is unset, a folder below the warehouse: shared only if the warehouse is, which by
+    default it is not, so several machines need one of the two settings.
     """
     shared = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/bookpulse/{spark.sparkContext.applicationId}"
@@ -51,5 +52,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stages(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; frames built on them end here."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark)}/stage")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{work_folder(spark)}/stage")
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete all that this application has left in the work folder: intermediate tables, files, stages of a pipeline."""
+    _delete(spark, work_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from bookpulse import fixed_values as fv
 from bookpulse.functions.text import day_name, signed_word
 from bookpulse.operators import broker_reports as rep
-from bookpulse.operators import boosting, churn_model, cleaning, metrics, profile, rfm
+from bookpulse.operators import boosting, churn_model, cleaning, client_sets, metrics, profile, rfm
 from bookpulse.operators import client_features as cf
 from bookpulse.operators import labels as churn
 from bookpulse.operators import messages as msg
@@ -459,6 +459,12 @@ add("E25_volume_percentiles",
     lambda b: profile.volume_percentiles(b.transactions).withColumn("volume_usd", F.round("volume_usd", 6)), PERCENTILES)
 add("E26_broker_volume", lambda b: profile.broker_volume(b.transactions), "SELECT * FROM broker_rev")
 add("E27_broker_clients", lambda b: profile.broker_clients(b.transactions), "SELECT * FROM broker_cli")
+add("E16_load_quality_of_sets", lambda b: client_sets.load_quality(b.client_sets), ORACLES["E16_load_quality"])
+add("E24_universe_of_sets", lambda b: client_sets.universe(b.client_sets), ORACLES["E24_universe"])
+add("E27_broker_clients_of_sets", lambda b: client_sets.broker_clients(b.client_sets), ORACLES["E27_broker_clients"])
+add("E27_clients_per_month", lambda b: client_sets.broker_clients(b.client_sets, "month"),
+    "SELECT intermediary_uuid, intermediary_name, month, count(DISTINCT balance_owner_uuid) AS n_clients FROM tx "
+    "WHERE has_broker AND status = 'COMPLETED' AND intermediary_uuid IS NOT NULL AND intermediary_name IS NOT NULL GROUP BY ALL")
 add("E28_status_distribution", lambda b: profile.status_distribution(b.transactions),
     "SELECT status, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM tx) * 100 AS percent "
     "FROM tx WHERE status IS NOT NULL GROUP BY 1")

@@ -93,6 +93,40 @@ def test_message_texts(listed, features):
     assert all(t.endswith("\n\n— Cambio Uno AI") for t in texts.values())
 
 
+#: The whole text of each type, letter for letter, so that a wrong word cannot hide behind the library's own table.
+WHOLE_TEXTS = {
+    "CHURN_RISK": (
+        "🔔 [CHURN_RISK]\nCliente: Ana\n\n📊 Situación: Lleva 10 días sin operar. Su volumen histórico es de $2,000 USD.\n"
+        "💡 Por qué importa: Este cliente representa un riesgo de churn de alto valor. Perderlo impacta directamente tu comisión.\n"
+        "✅ Acción sugerida: Contáctalo hoy. Pregúntale si tiene necesidades de cambio de divisas pendientes. "
+        "Mejor hora: Martes 9:00.\n\n— Cambio Uno AI"),
+    "REACTIVATION": (
+        "🔔 [REACTIVATION]\nCliente: Ana\n\n📊 Situación: Inactivo 10 días. Operó $2,000 USD en total contigo.\n"
+        "💡 Por qué importa: Reactivar un cliente existente cuesta 5x menos que adquirir uno nuevo.\n"
+        "✅ Acción sugerida: Envíale un recordatorio con el tipo de cambio del día. "
+        "Mejor contactarlo el Martes a las 9:00.\n\n— Cambio Uno AI"),
+    "UPSELL": (
+        "🔔 [UPSELL]\nCliente: Ana\n\n📊 Situación: Cliente activo con volumen en crecimiento. Promedio de $100 USD por operación.\n"
+        "💡 Por qué importa: Está en el mejor momento para aumentar el ticket promedio o frecuencia.\n"
+        "✅ Acción sugerida: Ofrécele condiciones preferenciales para operaciones mayores a $150 USD. "
+        "Contáctalo el Martes a las 9:00.\n\n— Cambio Uno AI"),
+    "BEST_TIME": (
+        "🔔 [BEST_TIME]\nCliente: Ana\n\n📊 Situación: Cliente activo. Su patrón histórico muestra mayor actividad los Martes a las 9:00.\n"
+        "💡 Por qué importa: Contactar en el momento correcto aumenta la tasa de conversión.\n"
+        "✅ Acción sugerida: Programa tu mensaje para el próximo Martes a las 9:00.\n\n— Cambio Uno AI"),
+}
+
+
+def test_whole_texts(listed):
+    one = listed.limit(1).withColumns({
+        "days_since_last_tx": F.lit(10.2), "total_volume_usd": F.lit(2000.0), "avg_volume_usd": F.lit(100.0),
+        "volume_trend": F.lit(1.0), "preferred_day": F.lit(1), "preferred_hour": F.lit(9), "client_name": F.lit("Ana"),
+    })
+    for kind, text in WHOLE_TEXTS.items():
+        rows = msg.messages(one.withColumn("opportunity_type", F.lit(kind)), company="Cambio Uno").collect()
+        assert [r["message"] for r in rows] == [text]
+
+
 def test_unknown_type_and_day(listed):
     odd = listed.limit(1).withColumns({"opportunity_type": F.lit("NEW"), "preferred_day": F.lit(9)})
     assert column(msg.messages(odd), "message") == ["🔔 Oportunidad detectada para Ana."]

@@ -72,3 +72,17 @@ def test_profile_scans_the_transactions_twice(b, monkeypatch):
     assert len(written) == 2 and all(text.count("Location: ") == text.count("/transactions]") == 1 for text in written)
     assert "/transactions]" not in report
     assert "NestedLoop" not in report and "Cartesian" not in report
+
+
+def test_totals_are_read_from_cells(b):
+    """Two scans, of clients and of opportunities, serve all reports of totals."""
+    found = b.reports()
+    for name in ("broker_card", "distributions", "overview", "opportunity_totals", "broker_kpis"):
+        text = plan(found[name])
+        assert f"{b.folder}/features" not in text and f"{b.folder}/opportunities" not in text, name
+        assert "client_cells" in text or "opportunity_cells" in text, name
+    for cells, table in ((rep.client_cells(b.features), "features"), (rep.opportunity_cells(b.opportunities), "opportunities")):
+        text = plan(cells)
+        assert text.count("Scan parquet") == 2 and f"{b.folder}/{table}" in text  # the plan's tree, and its details
+        assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
+    assert b.spark.read.parquet(f"{b.folder}/client_cells").count() <= 4 * b.features.select("broker_id").distinct().count()
