@@ -5,18 +5,23 @@ from __future__ import annotations
 import json
 import os
 import struct
-from collections.abc import Iterable
 
 from bookpulse.llm.common import RUN_BYTES, runs
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the machine already
 
-#: Bytes of keys, ids and table slots of the words that a worker keeps.
-KNOWN_BYTES = 160_000_000
+#: Bytes of keys, ids and table slots of the words that a worker keeps, and of one word.
+KNOWN_BYTES, _ENTRY_BYTES = 160_000_000, 210
+#: Bytes of the longest word that is kept.
+_LONG = 64
 
 #: Bytes that the library drops as white space and that end a word.
 _TO_SPACE = bytes(32 if chr(b) in " \t\n\r\x0b\x0c" else b for b in range(256))
 _TAIL = b".,;:!?)"
+#: Byte-level vocabularies write bytes that are no printable Latin-1 character as the characters from U+0100 on.
+_BYTE_LEVEL = {
+    b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))
+}
 _WORKER: dict[str, WordEncoder] = {}
 
 
@@ -37,10 +42,12 @@ def encoder(path: str) -> WordEncoder:
 class WordEncoder:
     """Encode texts to little-endian unsigned 32-bit ids, equal to the library's for the whole text.
 
-    Tokenizers that drop white space give a word the same ids wherever it stands, so each
-    distinct word is encoded once and then looked up. Other tokenizers get whole texts.
-    Words are kept in two generations: once the younger holds half of ``known_bytes``, the
-    older is forgotten, but for the words in use.
+    Tokenizers that drop white space give a word the same ids wherever it stands, so words
+    are looked up; other tokenizers get whole texts. The table is keyed by the core of a word
+    (lower case, no punctuation after it), which is a word itself, and by other spellings once
+    their core is known, so words seen once take one place only. A full table admits nothing
+    and forgets nothing, until so many words were not found that the texts must have
+    changed; then it starts anew.
     """
 
     def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
@@ -48,60 +55,68 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = _drops_space(path)
-        self.limit = known_bytes
+        self.limit = known_bytes // _ENTRY_BYTES
         self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.size = 0
+        self.missed = 0
 
     def encode(self, data: bytes) -> bytes:
         if not self.by_word:
-            return self._library([data.decode()])[0]
+            return self._library(data)
         if len(data) <= RUN_BYTES:
             return self._run(data)
         return b"".join(map(self._run, runs(data.translate(_TO_SPACE))))
 
     def _run(self, data: bytes) -> bytes:
         words = data.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(self.known.__getitem__, words))
-
-    def _library(self, strings: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        if self.size > self.limit // 2:
-            self.older, self.known, self.size = self.known, {}, 0
-        known, before = self.known, len(self.known)
-        parts = {w: _parts(w) for w in self._unknown(words)}
-        rest = []
-        for x in self._unknown(x for pair in parts.values() for x in pair):
-            if x.isalpha() and x.islower():  # a to z: nothing to normalize or to split
-                ids = [t.id for t in self.tokenizer.model.tokenize(x.decode())]
-                known[x] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                rest.append(x)
-        if rest:
-            known.update(zip(rest, self._library([x.decode() for x in rest])))
-        for word, (core, tail) in parts.items():
-            if word not in known:
-                known[word] = known[core] + known[tail]
-        self.size += 210 * (len(known) - before) + sum(map(len, parts))
-
-    def _unknown(self, words: Iterable[bytes]) -> list[bytes]:
-        """Distinct words of neither generation; those of the older one move to the younger."""
-        known, older, found = self.known, self.older, []
-        for word in set(words):
-            if word not in known:
-                ids = older.get(word)
-                if ids is None:
-                    found.append(word)
-                else:
-                    known[word] = ids
-        return found
+        found = list(map(self.known.get, words))
+        at = 0
+        for _ in range(found.count(None)):
+            at = found.index(None, at)
+            found[at] = self._word(words[at])
+        return b"".join(found)
+
+    def _library(self, data: bytes) -> bytes:
+        return _packed(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids)
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():  # a to z
+            return self._core(word)
+        core, tail = _parts(word)
+        if core == word:
+            return self._core(word)
+        ids = self.known.get(core)
+        seen = ids is not None
+        if not seen:
+            ids = self._core(core)
+        if tail:
+            ids += self.known.get(tail) or self._core(tail)
+        if seen and len(self.known) < self.limit and len(word) <= _LONG:
+            self.known[word] = ids
+        return ids
+
+    def _core(self, core: bytes) -> bytes:
+        """Ids of a core or a tail, which is kept if there is room."""
+        if core in self.known:
+            return self.known[core]
+        tokenize = self.tokenizer.model.tokenize
+        if core.isalpha():  # a to z: nothing to normalize or to split
+            ids = _packed([t.id for t in tokenize(core.decode())])
+        elif (text := core.decode()).isalpha() and max(text) < "\u0250" and text == text.lower():
+            # Latin lower-case letters, written as byte-level vocabularies have them.
+            ids = _packed([t.id for t in tokenize(core.decode("latin-1").translate(_BYTE_LEVEL))])
+        else:
+            ids = self._library(core)
+        if len(self.known) < self.limit and len(core) <= _LONG:
+            self.known[core] = ids
+        else:
+            self.missed += 1
+            if self.missed > 4 * self.limit:
+                self.known, self.missed = {}, 0
+        return ids
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _parts(word: bytes) -> tuple[bytes, bytes]:
@@ -124,10 +139,13 @@ def _drops_space(path: str) -> bool:
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
     steps = [x.get("type") for x in (model.get("normalizer") or {}).get("normalizers", [])]
-    first = ((model.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    split = (model.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first, second = split[0], split[-1]
     return (
         steps == ["NFC", "Replace", "Lowercase"]
         and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
         and r"[^\s\p{L}\p{N}]+" in first.get("pattern", {}).get("Regex", "")
+        and len(split) == 2 and second.get("type") == "ByteLevel"
+        and not second.get("use_regex", True) and not second.get("add_prefix_space", True)
         and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in model["added_tokens"])
     )
