@@ -73,12 +73,20 @@ class Projection:
     def __init__(self, features: int = FEATURES, dimensions: int = DIMENSIONS, bits: int = BITS, seed: int = SEED):
         self.features, self.bits = features, bits
         self.axes = np.random.default_rng(seed).standard_normal((features, dimensions))
+        self.bucket_of = np.zeros(0, dtype=np.int64)
+
+    def buckets(self, ids: np.ndarray) -> np.ndarray:
+        """The hashed place of each id, from a table as long as the largest id met."""
+        if len(ids) and (top := int(ids.max())) >= len(self.bucket_of):
+            known = np.arange(max(top + 1, 1 << 16), dtype=np.uint64)
+            mixed = (known * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            self.bucket_of = (mixed % np.uint64(self.features)).astype(np.int64)
+        return self.bucket_of[ids]
 
     def points(self, documents: list[np.ndarray]) -> np.ndarray:
         counts = np.zeros((len(documents), self.features))
         for row, ids in zip(counts, documents):
-            bucket = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            row += np.bincount((bucket % np.uint64(self.features)).astype(np.int64), minlength=self.features)
+            row += np.bincount(self.buckets(ids), minlength=self.features)
         weights = np.sqrt(counts)
         weights /= np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-9)
         place = (weights @ self.axes + 4) / 8  # standard normal coordinates: 4 deviations each way
