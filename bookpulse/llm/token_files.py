@@ -7,7 +7,7 @@ delta-encoded; row groups and pages are small enough that the page indexes on do
 only the pages asked for to be read.
 
 Rows: a null text is empty and holds the end id only; null doc_ids come first; repeated
-rows stay, ordered by their text; an empty table gives an empty, readable folder; other
+rows stay, ordered by their text; very long texts are encoded in runs, as one row; an empty table gives an empty, readable folder; other
 columns are ignored, whatever their names.
 """
 
@@ -70,7 +70,8 @@ def write_token_files(
 
     rows = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")
     coded = (
-        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        # Rows of one doc_id, null included, are split by the beginnings of their texts.
+        rows.repartitionByRange("doc_id", F.substring("text", 1, 48)).sortWithinPartitions("doc_id", "text")
         .mapInArrow(encode, IDS_SCHEMA)
     )
     writer = coded.write.options(**_FORMAT).option("parquet.block.size", row_group_bytes)
