@@ -6,8 +6,10 @@ first block of a window, where in the items such windows stand (suffix hash with
 check). What the tables let through is compared word by word.
 
 Rows: a null text has no words; an item without words or with a null item_id has no
-windows; items of one item_id count once; repeated documents are judged once each; empty
-tables give no hits or no rows; other columns are ignored, whatever their names.
+windows; items of one item_id count once, and a window that several items share counts for
+each of them; repeated documents are judged once each; very long texts are searched in runs,
+very long items are cut into pieces that share words; empty tables give no hits or no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -130,13 +132,17 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW,
         for batch in batches:
             ids, pieces = [], []
             for item, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                carried: list[bytes] = []
+                # A piece has a window at least, unless the whole item has fewer words.
+                carried, cut_off = [], False
                 for run in runs(text.translate(_FOLD), least):
-                    words = run.split()
-                    if words:
+                    carried += run.split()
+                    if len(carried) >= window:
                         ids.append(item)
-                        pieces.append(b" ".join(carried + words))
-                        carried = (carried + words)[-(window - 1):] if window > 1 else []
+                        pieces.append(b" ".join(carried))
+                        carried, cut_off = carried[len(carried) - window + 1:], True
+                if carried and not cut_off:
+                    ids.append(item)
+                    pieces.append(b" ".join(carried))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pieces, pa.binary())], ["item", "words"])
 
     rows = own_columns(benchmark, "item_id", "text").where(F.col("item_id").isNotNull())

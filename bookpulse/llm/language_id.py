@@ -6,8 +6,9 @@ A text gets the language whose codeword has the smallest loss, each bit weighted
 well its classifier separates the languages; a small gap to the next one is flagged.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0; without any labelled
-text all rows are ``und``; with one learned language every other text gets it; repeated
-rows are judged alike; rows with a null doc_id count as held out; an empty table gives no
+text all rows are ``und``; with one learned language every other text gets it; of codewords
+with equal losses the first language by name wins, with a gap of 0; repeated rows are judged
+alike; very long texts are counted in pieces; rows with a null doc_id count as held out; an empty table gives no
 rows; other columns are ignored (``keep_identified`` keeps them all).
 """
 

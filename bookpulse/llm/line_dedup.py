@@ -2,12 +2,13 @@
 
 A line counts once per page, with blanks at its ends cut off; empty lines are neither
 counted nor dropped. A line is boilerplate of a host if it stands on more than ``ratio`` of
-the host's pages and on at least ``least`` of them. Pages of one host with equal texts
-count as one page: a page crawled often is left to deduplication, not emptied here.
+the host's pages, copies included, and in at least ``least`` different texts: what only
+stands in copies of one page is that page's own text, and left to deduplication.
 
-Rows: a null text stays null; a text of boilerplate only becomes empty and its row stays;
-rows without a host keep all lines; repeated rows count as one page and are all cleaned; an
-empty table gives no rows. Columns named like the two counts are replaced, others kept.
+Rows: a null text stays null and counts as a page; a text of boilerplate only becomes empty
+and its row stays; rows without a host keep all lines; repeated rows are pages of their own;
+a line on exactly ``ratio`` of the pages stays; very long texts are read whole, as one row;
+an empty table gives no rows. Columns named like the two counts are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from bookpulse.llm.common import free_name
 from bookpulse.session import stage
 
-#: The ratio decides on hosts of any size; a line on one page only is not repeated.
+#: The ratio decides on hosts of any size; a line of one text only is not repeated.
 RATIO, LEAST = 0.1, 2
 
 
@@ -34,7 +35,7 @@ def line_hashes(text: Column) -> Column:
 def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """host and bad (hashes of its boilerplate lines), for hosts that have any.
 
-    Pages move as hash lists, once; lines are counted with map-side combining, so neither a
+    Different pages move as hash lists, once, with their number of copies; lines are counted with map-side combining, so neither a
     hot host nor a hot line moves more than a row per task. A list of boilerplate has at
     most (mean lines per page) / ratio entries.
     """
@@ -42,13 +43,13 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, lea
     pages = stage(
         docs.select(F.col(f"`{host}`").alias("host"), F.col("`text`").alias("text")).where(F.col("host").isNotNull())
         .groupBy("host", F.xxhash64(text).alias("page"), F.length(text).alias("length"))
-        .agg(F.any_value(F.array_distinct(line_hashes(text))).alias("lines")),
+        .agg(F.any_value(F.array_distinct(line_hashes(text))).alias("lines"), F.count("*").alias("copies")),
         "pages",
     )
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    totals = pages.groupBy("host").agg(F.sum("copies").alias("pages"))
     counts = (
-        pages.select("host", F.explode("lines").alias("line")).where(F.col("line").isNotNull())
-        .groupBy("host", "line").agg(F.count("*").alias("on")).where(F.col("on") >= least)
+        pages.select("host", "copies", F.explode("lines").alias("line")).where(F.col("line").isNotNull())
+        .groupBy("host", "line").agg(F.sum("copies").alias("on"), F.count("*").alias("texts")).where(F.col("texts") >= least)
     )
     often = counts.join(totals, "host").where(F.col("on") > F.col("pages") * ratio)
     return often.groupBy("host").agg(F.collect_list("line").alias("bad"))

@@ -5,9 +5,10 @@ always do for some pair of blocks). Groups of candidates are compared bit-sliced
 planes of 64 fingerprints stand in one word each, carry-save counters add up 64 distances
 at a time, and a block is abandoned once all its distances exceed the radius.
 
-Rows: a null or empty text has fingerprint zero and is linked like any other; rows of one
-doc_id are one document; a null doc_id gets a fingerprint but no component; an empty table
-gives no rows; other columns are ignored.
+Rows: a null or empty text has fingerprint zero and is linked like any other; in
+``near_duplicates`` rows of one doc_id are one document, and a null doc_id gets a fingerprint
+but no component, while ``keep_one`` judges every row by itself; an empty table gives no rows;
+very long texts are hashed in runs; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookpulse.llm.common import importable, own_columns, runs, slices, texts
+from bookpulse.llm.common import free_name, importable, own_columns, runs, slices, texts
 from bookpulse.session import stage
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -60,8 +61,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_type: str = "bigint") -> DataFrame:
+    """doc_id (cast to ``id_type``) and fp (the 64 bits as a signed long) of every row."""
     importable(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +70,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = np.array([fingerprint(t, shingle) for t in texts(batch.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    rows = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(compute, "doc_id bigint, fp bigint")
+    rows = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast(id_type), "text")
+    return rows.mapInArrow(compute, f"doc_id {id_type}, fp bigint")
 
 
 def block_masks(radius: int) -> list[int]:
@@ -301,19 +302,39 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Digest of a row's doc_id and text (null: empty): equal for repeated rows only."""
+    doc_id, text = F.col("`doc_id`").cast("string"), F.col("`text`").cast("string")
+    return F.md5(F.concat(F.coalesce(doc_id, F.lit("-")), F.lit(":"), F.coalesce(text, F.lit(""))))
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; of repeated rows, one.
+    """Of each component of linked texts one row: that of the smallest doc_id, then digest; null ids last.
 
-    Rows with a null doc_id stay. Texts move only if the table of dropped ids is too large
-    for Spark to broadcast.
+    Rows are linked, chosen and dropped by themselves: rows of one doc_id are as independent
+    as any others, and rows without a doc_id are linked as well. Texts move only if the
+    table of dropped rows is too large for Spark to broadcast, or where a kept row is repeated.
     """
-    found = stage(near_duplicates(docs, shingle, radius), "components")
-    dropped = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = stage(
-        found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated"
+    key, dropped_key = free_name(docs, "row_key"), free_name(docs, "dropped_key")
+    fps = stage(
+        fingerprints(docs.select(F.struct(F.col("`doc_id`").cast("bigint").alias("doc_id"), row_key(docs).alias("key"))
+                                 .alias("doc_id"), F.col("`text`").alias("text")), shingle,
+                     "struct<doc_id:bigint,key:string>").select("doc_id.*", "fp"),
+        "fingerprints",
     )
+    classes = stage(fps.select("fp", F.col("fp").alias("rep")).distinct(), "classes")
+    found = components(links(classes, radius))
+    component = F.coalesce("component", "fp").alias("component")
+    rows = stage(fps.join(found, fps.fp == found.vertex, "left").select("doc_id", "key", component), "components")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    judged = rows.groupBy("component", "key").agg(F.count("*").alias("n")).join(
+        first.select("component", F.col("first.key").alias("kept")), "component")
+    dropped = stage(judged.where("key <> kept").select(F.col("key").alias(dropped_key)), "dropped")
+    repeated = stage(judged.where("key = kept AND n > 1").select(F.col("key").alias(dropped_key)), "repeated")
+    keyed = docs.withColumn(key, row_key(docs))
+    kept = keyed.join(dropped, keyed[key] == dropped[dropped_key], "left_anti")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return kept.drop(key)
+    again = kept[key] == repeated[dropped_key]
+    once = kept.join(repeated, again, "left_semi").dropDuplicates([key])
+    return kept.join(repeated, again, "left_anti").unionByName(once).drop(key)

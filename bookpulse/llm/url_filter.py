@@ -4,8 +4,9 @@ The model is trained from a small table of labelled urls; host and path give sep
 n-grams, hashed to a fixed number of features.
 
 Rows: a null url, or one without ``://``, has empty host and path, no rule and the model's
-verdict on the empty url; repeated rows are judged alike; an empty table gives no rows;
-other columns stay, those named like a result are replaced.
+verdict on the empty url; repeated rows are judged alike; a score at the threshold blocks;
+very long urls are judged whole, as one row of n-grams; an empty table gives no rows; other
+columns stay, those named like a result are replaced.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ steps, frames records by Content-Length and verifies the digests.
 
 Rows: a null html is an empty payload, a null url an empty target; a null page_id is kept
 as null and never chosen as the original unless no other has that payload; repeated rows
-give repeated records; an empty table gives no records; other columns are ignored.
+give repeated records, and those of the original are responses all; very long payloads are
+one record, decompressed in small steps; an empty table gives no records; other columns are
+ignored.
 """
 
 from __future__ import annotations

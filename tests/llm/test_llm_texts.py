@@ -100,6 +100,26 @@ def test_contamination_of_random_words(spark, monkeypatch):
         assert (n, sum(b - a for a, b in spans), len(found)) == row[1:4]
 
 
+@pytest.mark.parametrize("block_bytes", [64, 400, 4000, 10**6])
+def test_contamination_by_sparse_items(spark, block_bytes):
+    """Words far apart in a long item text: only windows of ten words count, wherever the item is cut."""
+    far = "." * 300
+    items = [
+        (1, f"the cat {far} " + " ".join(f"w{i}" for i in range(12))), (2, f"{far} the {far} cat {far} sat"),
+        (3, f" {far} ".join(f"v{i}" for i in range(25))), (4, far), (5, f"x y z {far}"),
+    ]
+    docs = [
+        (1, "i saw the cat today"), (2, "the cat " + " ".join(f"w{i}" for i in range(8))), (3, "x the cat sat down"),
+        (4, "a " + " ".join(f"v{i}" for i in range(5, 15)) + " b"), (5, "x y z"), (6, " ".join(f"v{i}" for i in range(9))),
+        (7, " ".join(f"w{i}" for i in range(12))),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination(docs, items)
+    assert [r[5] for r in want] == [False, True, True, True, True, False, True]
+    assert contamination(df, bench, block_bytes=block_bytes) == want
+
+
 def test_contamination_edges(spark, odd, nothing):
     bench = spark.createDataFrame([(9, "The cat SAT"), (10, "katze und der hund die katze und der hund die katze")], "item_id long, text string")
     want = brute_contamination([(r[0], r[1]) for r in ODD], [tuple(r) for r in bench.collect()])
@@ -241,11 +261,12 @@ def test_codewords(n):
 
 def brute_lines(rows, ratio, least):
     pages, on = {}, {}
-    for text, source in {(t, s) for _, t, _, s, *_ in rows if s is not None}:
-        pages[source] = pages.get(source, 0) + 1
-        for line in {x.strip(" \t\r") for x in (text or "").split("\n")} - {""}:
-            on[source, line] = on.get((source, line), 0) + 1
-    bad = {k for k, n in on.items() if n >= least and n > ratio * pages[k[0]]}
+    for _, text, _, source, *_ in rows:
+        if source is not None:
+            pages[source] = pages.get(source, 0) + 1
+            for line in {x.strip(" \t\r") for x in (text or "").split("\n")} - {""}:
+                on.setdefault((source, line), []).append(text)
+    bad = {k for k, t in on.items() if len(set(t)) >= least and len(t) > ratio * pages[k[0]]}
     out = []
     for doc, text, _, source, *_ in rows:
         lines = [] if text is None else text.split("\n")
@@ -262,7 +283,7 @@ def test_lines_of_random_pages(spark):
         for i in range(300)
     ] + ODD + [(900 + i, "copied page\nhome", "en", "c", 0) for i in range(50)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for ratio, least in ((0.1, 10), (0.02, 2)):
+    for ratio, least in ((line_dedup.RATIO, line_dedup.LEAST), (0.1, 10), (0.02, 2)):
         got = line_dedup.dedup_lines(df, ratio=ratio, least=least).select("doc_id", "source", "text", "n_lines", "n_dropped")
         assert sorted((tuple(x) for x in got.collect()), key=str) == brute_lines(rows, ratio, least)
 
@@ -283,6 +304,17 @@ def test_footer_of_small_hosts(spark):
     assert {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, df, FOLDER).collect()} == want
 
 
+def test_copies_count_as_pages(spark):
+    """Copies of one page are no boilerplate by themselves, but they count among a host's pages."""
+    rows = [(i, "copied\nfooter", "en", "a", 0) for i in range(40)]
+    rows += [(100 + i, f"own {i}\nfooter\n" + ("four" if i < 4 else "six" if i < 10 else ""), "en", "a", 0) for i in range(10)]
+    rows += [(200 + i, "a long text " * 20_000 + f"{i}\nend", "en", "b", 0) for i in range(2)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == "copied" and got[100] == "own 0\nfour" and got[105] == "own 5"
+    assert got[200].endswith("0") and len(got[200]) > 200_000
+    assert sorted(got.items()) == [(r[0], r[2]) for r in brute_lines(rows, line_dedup.RATIO, line_dedup.LEAST)]
+
+
 def test_line_edges(odd, nothing):
     got = line_dedup.dedup_lines(odd)
     assert sorted(got.columns) == sorted(odd.columns) and got.count() == len(ODD)
@@ -328,9 +360,29 @@ def test_simhash_edges(odd, nothing):
     want = brute_components([(r[0], r[1]) for r in ODD])
     assert near(odd) == want and near(nothing) == []
     kept = simhash.keep_one(odd)
-    # Of rows 1, 2, 3 (fingerprint zero) and 4, 4, 5 one each; rows without a doc_id stay.
-    assert kept.columns == odd.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 4, 6, 7]
+    # Of rows null, 1, 2, 3 (fingerprint zero) and 4, 4, 5 one each.
+    assert kept.columns == odd.columns and simhash.keep_one(nothing).count() == 0
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 6, 7]
+
+
+def test_rows_are_kept_by_themselves(spark):
+    r = random.Random(9)
+    a, b, c = (" ".join(f"w{r.randrange(10**6)}" for _ in range(400)) for _ in range(3))
+    near = a.rsplit(" ", 1)[0] + " changed"
+    assert (brute_fingerprint(a) ^ brute_fingerprint(near)).bit_count() <= 2
+    cases = [
+        ([(1, a), (2, a), (2, b)], {(1, a), (2, b)}),            # an unrelated text under the id of a copy
+        ([(5, a), (5, near), (5, near)], 1),                      # a page crawled again
+        ([(None, a), (None, a), (None, near), (None, c)], 2),     # copies without an id
+        ([(None, a), (3, near)], {(3, near)}),                    # an id goes before none
+        ([(7, a), (7, a), (8, b), (8, b), (9, c)], {(7, a), (8, b), (9, c)}),
+    ]
+    for rows, want in cases:
+        df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'old' AS row_key", "'old' AS dropped_key", "'x' AS fp")
+        got = simhash.keep_one(df)
+        assert got.columns == df.columns
+        kept = [(x.doc_id, x.text) for x in got.collect()]
+        assert len(kept) == want if isinstance(want, int) else sorted(kept, key=str) == sorted(want, key=str)
 
 
 def test_links_of_large_groups(spark):
