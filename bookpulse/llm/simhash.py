@@ -327,12 +327,24 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     component = F.coalesce("component", "fp").alias("component")
     rows = stage(fps.join(found, fps.fp == found.vertex, "left").select("doc_id", "key", component), "components")
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    judged = rows.groupBy("component", "key").agg(F.count("*").alias("n")).join(
-        first.select("component", F.col("first.key").alias("kept")), "component")
-    dropped = stage(judged.where("key <> kept").select(F.col("key").alias(dropped_key)), "dropped")
-    repeated = stage(judged.where("key = kept AND n > 1").select(F.col("key").alias(dropped_key)), "repeated")
-    keyed = docs.withColumn(key, row_key(docs))
-    kept = keyed.join(dropped, keyed[key] == dropped[dropped_key], "left_anti")
+    judged = stage(
+        rows.groupBy("component", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("id")).join(
+            first.select("component", F.col("first.key").alias("kept")), "component")
+        .select("id", "n", F.col("key").alias(dropped_key), (F.col("key") == F.col("kept")).alias("stays")),
+        "judged",
+    )
+    # Most ids go as a whole: a narrow table. The others' rows, and rows without an id, go by their keys.
+    whole = stage(
+        judged.where("id IS NOT NULL").groupBy("id").agg(F.bool_or("stays").alias("stays")).where("NOT stays").select("id"),
+        "dropped-ids",
+    )
+    apart = stage(judged.where("NOT stays").join(whole, "id", "left_anti").select(dropped_key), "dropped-rows")
+    repeated = stage(judged.where("stays AND n > 1").select(dropped_key), "repeated")
+    kept = docs.join(whole, docs["`doc_id`"] == whole["id"], "left_anti")
+    if apart.isEmpty() and repeated.isEmpty():
+        return kept
+    kept = kept.withColumn(key, row_key(docs))
+    kept = kept.join(apart, kept[key] == apart[dropped_key], "left_anti")
     if repeated.isEmpty():
         return kept.drop(key)
     again = kept[key] == repeated[dropped_key]
