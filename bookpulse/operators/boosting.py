@@ -4,11 +4,11 @@ Inputs become byte-sized bins, between quantiles of the whole table. For a level
 gradients and hessians are added up per (model, node, input, bin), only for the smaller child of
 each pair, since its sibling is the parent less it; the sums, whose size does not depend on the
 rows, give the second-order splits. A bounded number of rows (``TASK_ROWS``) is boosted within
-one task, where a job per level would be nothing but waiting. More rows are dealt to many
+one task per model, where a job per level would be nothing but waiting. More rows are dealt to many
 tasks: a level is one job that adds up their sums, and the rows' scores stay with them,
 checkpointed every few trees, so a lost executor costs a few trees of its own rows.
 
-Several models (one per fold, say) share all of it: they differ in the rows left out only.
+Several models (one per fold, say) share bins and jobs: they differ in the rows left out only.
 Gradients are added as whole numbers, and rows and inputs are drawn by hashes of a row's key
 and the number of the tree, so neither partitions nor their order change a model.
 """
@@ -19,6 +19,7 @@ import math
 import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -73,13 +74,20 @@ class Tree:
         return descend(bins, self.feature, self.bin, int(math.log2(len(self.value)))) - len(self.feature)
 
 
+def step(bins: np.ndarray, feature: np.ndarray, split: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The node of each row one level further down."""
+    n = bins.shape[1]
+    start = np.maximum(feature, 0) * n                   # where an input's line begins
+    most = np.where(feature < 0, 255, split).astype("u1")  # bins are bytes: without a split all go left
+    right = bins.reshape(-1).take(start.take(node) + np.arange(n)) > most.take(node)
+    return 2 * node + 1 + right
+
+
 def descend(bins: np.ndarray, feature: np.ndarray, split: np.ndarray, levels: int) -> np.ndarray:
     """The node of each row after so many levels."""
-    node, row = np.zeros(bins.shape[1], dtype=np.int64), np.arange(bins.shape[1])
+    node = np.zeros(bins.shape[1], dtype=np.int64)
     for _ in range(levels):
-        chosen = feature[node]
-        right = (bins[np.maximum(chosen, 0), row] > split[node]) & (chosen >= 0)
-        node = 2 * node + 1 + right
+        node = step(bins, feature, split, node)
     return node
 
 
@@ -220,43 +228,60 @@ class Rows:
             margin += tree.value[tree.leaves(self.bins)]
         return self
 
-    def gradients(self, left_out: Sequence[int], turn: int, share: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per model the rows drawn, and their gradients and hessians in whole units."""
+    def drawn(self, left_out: Sequence[int], turn: int, share: float) -> list[Drawn]:
+        """Per model the rows drawn for a tree, with their gradients and hessians."""
         sample, out = drawn(self.keys, turn, share), []
         for margin, fold in zip(self.margins, left_out):
             rows = np.flatnonzero(sample & (self.folds != fold) if fold >= 0 else sample)
             p = 1 / (1 + np.exp(-margin[rows]))
-            out.append((
-                rows, np.rint((p - self.labels[rows]) * _UNIT).astype(np.int64), np.rint(p * (1 - p) * _UNIT).astype(np.int64)
+            out.append(Drawn(
+                self.bins.take(rows, axis=1), np.rint((p - self.labels[rows]) * _UNIT), np.rint(p * (1 - p) * _UNIT)
             ))
         return out
 
-    def sums(self, gradients: Sequence[tuple], columns: np.ndarray, bins: int, level: int, trees: Sequence[Tree],
-             counted: np.ndarray) -> np.ndarray:
-        """[gradient or hessian, model, counted node, input, bin] of these rows.
 
-        ``counted``: per model and node of the level its place among the nodes that are added up, or -1.
+class Drawn:
+    """Rows drawn for one tree of one model: bins, whole gradients and hessians, the node each has reached."""
+
+    def __init__(self, bins: np.ndarray, gradients: np.ndarray, hessians: np.ndarray):
+        self.bins, self.weights, self.level = bins, (gradients, hessians), 0
+        self.node = np.zeros(bins.shape[1], dtype=np.int64)
+
+    def down(self, tree: Tree, level: int) -> None:
+        """Move the rows on to this level; they stay there for the next one."""
+        for _ in range(self.level, level):
+            self.node = step(self.bins, tree.feature, tree.bin, self.node)
+        self.level = level
+
+    def sums(self, columns: np.ndarray, bins: int, level: int, tree: Tree, counted: np.ndarray, n_nodes: int) -> np.ndarray:
+        """[gradient or hessian, counted node, input, bin] of these rows.
+
+        ``counted``: per node of the level its place among the nodes that are added up, or -1.
         """
-        n_nodes = int(counted.max()) + 1
-        out = np.zeros((2, len(trees), n_nodes, len(columns), bins), dtype=np.int64)
-        for m, (rows, g, h) in enumerate(gradients):
-            node = descend(self.bins[:, rows], trees[m].feature, trees[m].bin, level) - (2 ** level - 1)
-            at = counted[m][node]
-            some = at >= 0
-            rows, at = rows[some], at[some]
-            for k, values in enumerate((g[some], h[some])):
-                # Weighted counts are doubles: halves of 26 bits keep the sums of a chunk exact.
-                for start in range(0, len(rows), _CHUNK):
-                    part = slice(start, start + _CHUNK)
-                    low, high = values[part] & 0x3FFFFFF, values[part] >> 26
-                    for c, column in enumerate(columns):
-                        cell = at[part] * bins + self.bins[column, rows[part]]
-                        total = np.bincount(cell, low, n_nodes * bins).astype(np.int64)
-                        total += np.bincount(cell, high, n_nodes * bins).astype(np.int64) << 26
-                        out[k, m, :, c] += total.reshape(n_nodes, bins)
+        self.down(tree, level)
+        out = np.zeros((2, n_nodes, len(columns), bins), dtype=np.int64)
+        at, rows, weights = counted[self.node - (2 ** level - 1)], None, self.weights
+        if at.min(initial=0) < 0:
+            rows = np.flatnonzero(at >= 0)
+            at, weights = at[rows], [w[rows] for w in weights]
+        cells = at * bins
+        for c, column in enumerate(columns):
+            own = self.bins[column] if rows is None else self.bins[column].take(rows)
+            cell = cells + own
+            # Weighted counts are doubles, exact below 2 ** 53: a weight is at most 2 ** 32, a chunk 2 ** 20 rows.
+            for start in range(0, len(cell), _CHUNK):
+                part = slice(start, start + _CHUNK)
+                for k, values in enumerate(weights):
+                    out[k, :, c] += np.bincount(cell[part], values[part], n_nodes * bins).astype(np.int64).reshape(n_nodes, bins)
         return out
 
 
+def _all_sums(rows: Sequence[Drawn], columns: np.ndarray, bins: int, level: int, trees: Sequence[Tree], counted: np.ndarray) -> np.ndarray:
+    """[gradient or hessian, model, counted node, input, bin], of the rows of every model."""
+    n_nodes = int(counted.max()) + 1
+    return np.stack([r.sums(columns, bins, level, t, c, n_nodes) for r, t, c in zip(rows, trees, counted)], axis=1)
+
+
 def _best_splits(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per node the best (input, bin, gain); gain 0 where no split is worth it. sums: [2, node, input, bin]."""
     left = np.cumsum(sums, axis=3) / _UNIT
@@ -332,9 +357,9 @@ def _boosted_here(rows: Rows, models: Sequence[BoostedTrees], left_out: Sequence
                   row_share: float, column_share: float, bins: int) -> None:
     """Add a tree per turn to every model, all rows being at hand."""
     for turn in turns:
-        columns, gradients = columns_of(turn, len(models[0].inputs), column_share), rows.gradients(left_out, turn, row_share)
-        rows.move(_grown(models, columns, bins, depth, lambda level, trees, counted, g=gradients, c=columns: rows.sums(
-            g, c, bins, level, trees, counted)))
+        columns, chosen = columns_of(turn, len(models[0].inputs), column_share), rows.drawn(left_out, turn, row_share)
+        rows.move(_grown(models, columns, bins, depth, lambda level, trees, counted, d=chosen, c=columns: _all_sums(
+            d, c, bins, level, trees, counted)))
 
 
 def _boosted_apart(parts: RDD, models: Sequence[BoostedTrees], left_out: Sequence[int], turns: range, depth: int,
@@ -346,8 +371,8 @@ def _boosted_apart(parts: RDD, models: Sequence[BoostedTrees], left_out: Sequenc
 
         def sums_of(level: int, trees: list[Tree], counted: np.ndarray, turn=turn, columns=columns) -> np.ndarray:
             splits = [Tree(t.feature, t.bin, *[np.zeros(0)] * 3) for t in trees]
-            found = parts.map(lambda rows: rows.sums(
-                rows.gradients(left_out, turn, row_share), columns, bins, level, splits, counted))
+            found = parts.map(lambda rows: _all_sums(
+                rows.drawn(left_out, turn, row_share), columns, bins, level, splits, counted))
             return sum(found.collect()) if found.getNumPartitions() <= 32 else found.treeReduce(np.add)
 
         trees = _grown(models, columns, bins, depth, sums_of)
@@ -392,20 +417,26 @@ def fit(
         row_key(F.col(key)).alias("key"), F.col(label).cast("int").alias("label"),
         (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"),
         *[F.col(c).cast("double").alias(f"input{i}") for i, c in enumerate(inputs)],
-    ).repartition(max(1, min(tasks, MOST_TASKS)), "key")
-
+    )
     if tasks > 1:
         keep_checkpoints(spark)
-        apart = rows.mapInArrow(lambda batches: _packed(Rows(batches, models)), "rows binary").rdd
+        dealt = rows.repartition(min(tasks, MOST_TASKS), "key")
+        apart = dealt.mapInArrow(lambda batches: _packed(Rows(batches, models)), "rows binary").rdd
         _boosted_apart(apart.map(lambda r: pickle.loads(r[0])), models, *options)
         return models
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _boosted_here(Rows(batches, models), models, *options)
-        return _packed([m.trees for m in models])
+    names = rows.columns
 
-    for model, trees in zip(models, pickle.loads(rows.mapInArrow(train, "trees binary").collect()[0].trees)):
-        model.trees = trees
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first in batches:
+            k = first.column("model")[0].as_py()
+            own = Rows((b.select(names) for b in chain([first], batches)), models[k:k + 1])
+            _boosted_here(own, models[k:k + 1], left_out[k:k + 1], *options[1:])
+            yield from _packed((k, models[k].trees))
+
+    each = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(len(models) - 1))))
+    for found in each.repartitionById(len(models), "model").mapInArrow(train, "trees binary").collect():
+        k, models[k].trees = pickle.loads(found.trees)
     return models
 
 

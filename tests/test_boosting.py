@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from conftest import column
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from bookpulse import fixed_values as fv
@@ -104,6 +105,19 @@ def test_many_models_in_the_same_jobs(table):
     assert [t.cover.sum() for t in only.trees][0] == pytest.approx(together[1].trees[0].cover.sum(), rel=0.1)
 
 
+def test_models_are_fitted_in_tasks_of_their_own(table, monkeypatch, tmp_path):
+    """No task boosts the rows of two models."""
+    here = boosting._boosted_here
+
+    def noted(rows, models, *options):
+        (tmp_path / f"{TaskContext.get().partitionId()}-{len(models)}").write_text("")
+        here(rows, models, *options)
+
+    monkeypatch.setattr(boosting, "_boosted_here", noted)
+    assert all(len(m.trees) == 2 for m in fitted(table, 2, fold="fold", left_out=(0, 1, 2, 3, 4)))
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"{k}-1" for k in range(5)]
+
+
 def test_saved_model(table, tmp_path):
     model = fitted(table, 5)[0]
     boosting.save(model, str(tmp_path / "m"))
